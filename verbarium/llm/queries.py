@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verbarium.llm import encoding
+from verbarium.llm import encoding, leaks
 from verbarium.sources.tables import table
 
 
@@ -16,8 +16,28 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.restore(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.report(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+P8_SQL = r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}\p{M}]+') AS w FROM documents),
+         i AS (SELECT item_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}\p{M}]+') AS w FROM eval_items),
+         dg AS (SELECT doc_id, list_aggregate(w[k : k + 11], 'string_agg', ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
+         ig AS (SELECT item_id, list_aggregate(w[k : k + 11], 'string_agg', ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i))
+    SELECT DISTINCT item_id, doc_id FROM dg JOIN ig USING (g)"""
+
+
 QUERIES = {
+    "p8_found": p8_found,
+    "p8_report": p8_report,
     "p10_found": p10_found,
     "p10_restored": p10_restored,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p8_found": P8_SQL,
+}

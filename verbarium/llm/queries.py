@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verbarium.llm import encoding, leaks
+from verbarium.llm import encoding, leaks, lookalike
 from verbarium.sources.tables import table
 
 
@@ -32,7 +32,22 @@ P8_SQL = r"""
     SELECT DISTINCT item_id, doc_id FROM dg JOIN ig USING (g)"""
 
 
+P3_FIELDS = {"headword_native": "headword_native", "target": "example_sentences.target"}
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = lookalike.same_look_pairs(table(spark, sf_dir, "vocabulary"), "rec_id", "language_code", P3_FIELDS)
+    return pairs.selectExpr("field", "a as rec_a", "b as rec_b")
+
+
+def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each headword with its one form."""
+    return lookalike.canonicalise(table(spark, sf_dir, "vocabulary").select("rec_id", "headword_native"), {"headword_native": "headword_form"})
+
+
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_canonical": p3_canonical,
     "p8_found": p8_found,
     "p8_report": p8_report,
     "p10_found": p10_found,

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from verbarium.llm import encoding, leaks, lookalike
+from verbarium.llm import encoding, leaks, lookalike, survivors
 from verbarium.sources.tables import table
 
 
@@ -32,6 +33,56 @@ P8_SQL = r"""
     SELECT DISTINCT item_id, doc_id FROM dg JOIN ig USING (g)"""
 
 
+REFS = "cross_references"
+
+
+def _trust():
+    return F.array_max(F.transform(REFS, lambda x: x["reliability_score"]))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three fields are bundles of their own and bound by no dependency, so the root bound is each optimum."""
+    v = table(spark, sf_dir, "vocabulary").select("id", "rec_id", "headword_romanized", REFS, "created_at")
+    longest = F.array_max(F.transform(F.filter(REFS, lambda x: survivors.usable(x["definition"])), lambda x: F.length(x["definition"])))
+    head = F.col("headword_romanized")
+    bundles = [
+        survivors.Bundle("headword_romanized", survivors.usable(head), F.length(head), F.lit(None)),
+        survivors.Bundle("definition", longest.isNotNull(), longest, F.lit(None)),
+        survivors.Bundle("reliability_score", _trust().isNotNull(), F.lit(0), F.lit(None)),
+    ]
+    out = survivors.choose(v, "id", "rec_id", bundles, _trust(), F.col("created_at"))
+    return out.selectExpr("id", "bundle as field", "row as rec_id")
+
+
+def p1_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Survivors as consistent bundles: the headword forms, the word class, and the best cross-reference taken whole.
+    The native headword determines the romanised one, and the word class goes with a headword it was seen with."""
+    v = table(spark, sf_dir, "vocabulary").select("id", "rec_id", "headword_native", "headword_romanized", "pos", REFS, "created_at")
+    ref = F.array_max(F.transform(F.filter(REFS, lambda x: survivors.usable(x["definition"])), lambda x: F.struct(x["reliability_score"], F.length(x["definition"]).alias("n"), x.alias("x"))))
+    v = v.withColumn("ref", ref)
+    native, roman, pos = F.col("headword_native"), F.col("headword_romanized"), F.col("pos")
+    text = lambda **kw: F.to_json(F.struct(*(c.alias(k) for k, c in kw.items())))
+    bundles = [
+        survivors.Bundle("native", survivors.usable(native), F.length(native), text(headword_native=native)),
+        survivors.Bundle("romanized", survivors.usable(roman), F.length(roman), text(headword_romanized=roman)),
+        survivors.Bundle("pos", survivors.usable(pos), F.length(pos), text(pos=pos)),
+        survivors.Bundle("reference", F.col("ref").isNotNull(), F.col("ref.n"), F.to_json("ref.x")),
+    ]
+    fds = [survivors.Dependency(("native", native), ("romanized", roman)), survivors.Dependency(("native", native), ("pos", pos))]
+    out = survivors.choose(v, "id", "rec_id", bundles, _trust(), F.col("created_at"), fds, least=1)
+    return out.selectExpr("id", "bundle", "row as rec_id", "value")
+
+
+P1_SQL = r"""
+    WITH v AS (SELECT id, rec_id, created_at, headword_romanized AS h, list_max(list_transform(cross_references, lambda x: x.reliability_score)) AS trust,
+                      list_max(list_transform(list_filter(cross_references, lambda x: coalesce(regexp_matches(x.definition, '[\p{L}\p{N}]') AND trim(lower(x.definition)) NOT IN ({BAD}), false)), lambda x: length(x.definition))) AS d
+               FROM vocabulary),
+         c AS (SELECT id, rec_id, created_at, trust, 'headword_romanized' AS field, length(h) AS n FROM v WHERE regexp_matches(h, '[\p{L}\p{N}]') AND trim(lower(h)) NOT IN ({BAD})
+               UNION ALL SELECT id, rec_id, created_at, trust, 'definition', d FROM v WHERE d IS NOT NULL
+               UNION ALL SELECT id, rec_id, created_at, trust, 'reliability_score', 0 FROM v WHERE trust IS NOT NULL),
+         r AS (SELECT *, row_number() OVER (PARTITION BY id, field ORDER BY trust DESC NULLS LAST, created_at DESC NULLS LAST, n DESC, rec_id) AS k FROM c)
+    SELECT id, field, rec_id FROM r WHERE k = 1 AND id IN (SELECT id FROM vocabulary GROUP BY id HAVING count(*) > 1)""".replace("{BAD}", ", ".join(f"'{x}'" for x in survivors.STAND_INS))
+
 P3_FIELDS = {"headword_native": "headword_native", "target": "example_sentences.target"}
 
 
@@ -46,6 +97,8 @@ def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_entries": p1_entries,
     "p3_found": p3_found,
     "p3_canonical": p3_canonical,
     "p8_found": p8_found,
@@ -54,5 +107,6 @@ QUERIES = {
     "p10_restored": p10_restored,
 }
 SQL: dict[str, str] = {
+    "p1_found": P1_SQL,
     "p8_found": P8_SQL,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbarium.llm import encoding, leaks, lookalike, survivors
+from verbarium.llm import encoding, leaks, lookalike, neighbours, survivors
 from verbarium.sources.tables import table
 
 
@@ -17,6 +17,10 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.restore(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "vocabulary"), "rec_id", "embedding").selectExpr("rec_id", "nn as nn_rec_id")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
 
@@ -101,6 +105,7 @@ QUERIES = {
     "p1_entries": p1_entries,
     "p3_found": p3_found,
     "p3_canonical": p3_canonical,
+    "p5_found": p5_found,
     "p8_found": p8_found,
     "p8_report": p8_report,
     "p10_found": p10_found,

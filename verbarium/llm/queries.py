@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbarium.llm import encoding, leaks, lookalike, neighbours, survivors
+from verbarium.llm import encoding, leaks, lookalike, neighbours, pages, survivors
 from verbarium.sources.tables import table
 
 
@@ -17,6 +17,14 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.restore(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.site_lines(table(spark, sf_dir, "crawl_results"), "crawl_id", "url", "content")
+
+
+def p4_main_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_content(table(spark, sf_dir, "crawl_results"), "crawl_id", "url", "content")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "vocabulary"), "rec_id", "embedding").selectExpr("rec_id", "nn as nn_rec_id")
 
@@ -105,6 +113,8 @@ QUERIES = {
     "p1_entries": p1_entries,
     "p3_found": p3_found,
     "p3_canonical": p3_canonical,
+    "p4_found": p4_found,
+    "p4_main_content": p4_main_content,
     "p5_found": p5_found,
     "p8_found": p8_found,
     "p8_report": p8_report,

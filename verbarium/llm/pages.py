@@ -35,12 +35,15 @@ def host_of(url: str | None) -> str:
 
 
 def is_scan(lines: list[str]) -> bool:
-    """Whether lines look like the printed lines of a page: most long ones break off inside a sentence."""
-    long = [x for x in (y.strip() for y in lines) if 25 <= len(x) <= 100]
-    every = [x for x in lines if x.strip()]
-    if len(long) < 3 or any(len(x) > 140 for x in every):
+    """Whether lines look like the printed lines of a page: most lines of running text break off inside a sentence.
+
+    Menus, word lists and labels are no running text: they hold a separator or fewer than five words.
+    """
+    every = [x.strip() for x in lines if x.strip()]
+    if any(len(x) > 140 for x in every):
         return False
-    return sum(not _END.search(x) for x in long) >= 0.5 * len(long)
+    long = [x for x in every if len(x) >= 25 and len(x.split()) >= 5 and not _SEPARATED.search(x) and not _GLOSS.match(x)]
+    return len(long) >= 3 and sum(not _END.search(x) for x in long) >= 0.4 * len(long)
 
 
 def path_of(line: str, host: str) -> tuple[str, str, list[str], list[str]]:

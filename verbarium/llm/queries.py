@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbarium.llm import encoding, leaks, lookalike, neighbours, pages, survivors
+from verbarium.llm import encoding, leaks, lookalike, neighbours, pages, scans, survivors
 from verbarium.sources.tables import table
 
 
@@ -29,6 +29,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "vocabulary"), "rec_id", "embedding").selectExpr("rec_id", "nn as nn_rec_id")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.faulty_lines(table(spark, sf_dir, "crawl_results"), "crawl_id", "content")
+
+
+def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repair(table(spark, sf_dir, "crawl_results"), "crawl_id", "content")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
 
@@ -116,6 +124,8 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_main_content": p4_main_content,
     "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p6_repaired": p6_repaired,
     "p8_found": p8_found,
     "p8_report": p8_report,
     "p10_found": p10_found,

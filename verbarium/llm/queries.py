@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbarium.llm import encoding, leaks, lookalike, neighbours, pages, scans, survivors
+from verbarium.llm import encoding, languages, leaks, lookalike, neighbours, pages, scans, survivors
 from verbarium.sources.tables import table
 
 
@@ -103,6 +103,21 @@ P1_SQL = r"""
          r AS (SELECT *, row_number() OVER (PARTITION BY id, field ORDER BY trust DESC NULLS LAST, created_at DESC NULLS LAST, n DESC, rec_id) AS k FROM c)
     SELECT id, field, rec_id FROM r WHERE k = 1 AND id IN (SELECT id FROM vocabulary GROUP BY id HAVING count(*) > 1)""".replace("{BAD}", ", ".join(f"'{x}'" for x in survivors.STAND_INS))
 
+def _language_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "languages").selectExpr("iso_code as code", "explode(concat(array(name), coalesce(alternate_names, array()))) as name")
+    return t.where("code <> ''").distinct()
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crawls, samples = table(spark, sf_dir, "crawl_results"), table(spark, sf_dir, "lang_samples")
+    return languages.faulty_labels(crawls, "crawl_id", "content", "metadata.language", samples, "lang", "text", _language_names(spark, sf_dir))
+
+
+def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = languages.fit(table(spark, sf_dir, "lang_samples"), "lang", "text")
+    return languages.segments(table(spark, sf_dir, "crawl_results"), "crawl_id", "content", model).withColumnRenamed("doc", "crawl_id")
+
+
 P3_FIELDS = {"headword_native": "headword_native", "target": "example_sentences.target"}
 
 
@@ -119,6 +134,8 @@ def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_entries": p1_entries,
+    "p2_found": p2_found,
+    "p2_segments": p2_segments,
     "p3_found": p3_found,
     "p3_canonical": p3_canonical,
     "p4_found": p4_found,

@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbarium.llm import encoding, languages, leaks, lookalike, neighbours, pages, scans, survivors
+from verbarium.llm import encoding, languages, leaks, lookalike, mixing, neighbours, pages, scans, survivors
 from verbarium.sources.tables import table
 
 
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(table(spark, sf_dir, "documents"), "doc_id", "source", "text", table(spark, sf_dir, "mix_targets"))
+
+
+def p9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.expand(_mix(spark, sf_dir)[0])
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.find_garbled(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -145,6 +157,8 @@ QUERIES = {
     "p6_repaired": p6_repaired,
     "p8_found": p8_found,
     "p8_report": p8_report,
+    "p9_selection": p9_selection,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_restored": p10_restored,
 }

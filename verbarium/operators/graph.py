@@ -1,0 +1,121 @@
+"""Graphs over entries: typed edges, degree, top nodes, neighbourhood, shortest path."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from verbarium.plans.runtime import cut, small
+
+#: Of two edges between the same nodes the first type stays.
+TYPES = ("related", "cluster", "embedding")
+#: Nodes a graph is built from at most: its feature, as is the number shown.
+FETCH = 1500
+
+
+def related_edges(nodes: DataFrame, key: str, headword: str, terms: str) -> DataFrame:
+    """Terms resolved to headwords; of equal headwords the last key wins."""
+    h = nodes.where(F.col(headword).isNotNull()).groupBy(F.col(headword).alias("t")).agg(F.max(key).alias("b"))
+    e = nodes.select(F.col(key).alias("a"), F.explode(terms).alias("t")).join(h, "t").where("a <> b")
+    return e.select("a", "b", F.lit(1.0).alias("weight"), F.lit("related").alias("type"))
+
+
+def star_edges(nodes: DataFrame, key: str, cluster: str, spokes: int = 10) -> DataFrame:
+    """The first node of a cluster joined to its second to tenth; null is a cluster of its own."""
+    c = F.coalesce(cluster, F.lit("uncategorized"))
+    w = Window.partitionBy("c").orderBy(key)
+    r = nodes.select(c.alias("c"), key).withColumn("r", F.row_number().over(w)).where(F.col("r") <= spokes)
+    hub = r.where("r = 1").select("c", F.col(key).alias("a"))
+    return r.where("r > 1").join(hub, "c").select("a", F.col(key).alias("b"), F.lit(0.3).alias("weight"), F.lit("cluster").alias("type"))
+
+
+def similar_edges(nodes: DataFrame, key: str, vector: str, threshold: float = 0.6, fetch: int = FETCH) -> DataFrame:
+    """Edges of cosine above the threshold among at most ``fetch`` nodes (smallest keys). The bounded matrix goes to the
+    executors; each task multiplies its rows with it and emits edges only."""
+    use = nodes.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v")).orderBy("k").limit(fetch)
+    rows = use.collect()
+    ids = np.array([r["k"] for r in rows])
+    m = np.array([r["v"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+    norm = np.linalg.norm(m, axis=1, keepdims=True) if len(rows) else m
+    unit = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            at = np.searchsorted(ids, b["k"].to_numpy())
+            s = np.round(unit[at] @ unit.T, 9)
+            i, j = np.nonzero((s > threshold) & (ids[None, :] > ids[at][:, None]))
+            yield pd.DataFrame({"a": ids[at[i]], "b": ids[j], "weight": s[i, j]})
+
+    kind = nodes.schema[key].dataType.simpleString()
+    return use.select("k").mapInPandas(run, f"a {kind}, b {kind}, weight double").withColumn("type", F.lit("embedding"))
+
+
+def undirected(edges: DataFrame) -> DataFrame:
+    """One edge for each pair: the first type in order, then the greatest weight; no self-loops."""
+    rank = F.array_position(F.array(*(F.lit(t) for t in TYPES)), F.col("type"))
+    e = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight", "type", rank.alias("rank"))
+    best = F.min_by(F.struct("weight", "type"), F.struct("rank", -F.col("weight")))
+    return e.groupBy("a", "b").agg(best.alias("x")).select("a", "b", "x.weight", "x.type")
+
+
+def degrees(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """(``key``, ``degree``), 0 for isolated nodes."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias(key)).groupBy(key).agg(F.count("*").alias("degree"))
+    return nodes.select(key).distinct().join(ends, key, "left").select(key, F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+def top_graph(nodes: DataFrame, edges: DataFrame, key: str, most: int = 400, per_node: float = 2.5) -> tuple[DataFrame, DataFrame]:
+    """The ``most`` nodes of highest degree and the heaviest edges among them, ``per_node`` times as many."""
+    n = min(1500, max(50, most))
+    best = degrees(nodes, edges, key).orderBy(F.desc("degree"), key).limit(n)
+    ids = F.broadcast(best.select(key))  # at most 1,500 rows
+    e = edges.join(ids.withColumnRenamed(key, "a"), "a", "left_semi").join(ids.withColumnRenamed(key, "b"), "b", "left_semi")
+    return best, e.orderBy(F.desc("weight"), "a", "b").limit(int(per_node * n + 0.5)).select("a", "b", "weight", "type")
+
+
+def neighbourhood(edges: DataFrame, roots: DataFrame, key: str, depth: int = 2, most: int = 50) -> DataFrame:
+    """(``key``, ``hops``): nodes within ``depth`` hops of the roots, nearest first, at most ``most`` (the feature's cap)."""
+    sym = edges.select("a", "b").union(edges.select("b", "a"))
+    seen = roots.select(key).distinct().withColumn("hops", F.lit(0))
+    front = seen
+    for h in range(1, depth + 1):
+        step = sym.join(small(front.select(F.col(key).alias("a"))), "a", "left_semi").select(F.col("b").alias(key)).distinct()
+        front = cut(step.join(small(seen.select(key)), key, "left_anti").withColumn("hops", F.lit(h)))
+        seen = seen.unionByName(front)
+    return seen.orderBy("hops", key).limit(most)
+
+
+def shortest_path(edges: DataFrame, start, goal, longest: int = 20) -> list:
+    """Keys along a shortest path, [] if there is none within ``longest`` edges; of equal paths the smallest predecessors win.
+
+    One frontier join per hop with the lineage cut; only the path itself comes to the driver.
+    """
+    if start == goal:
+        return [start]
+    spark = edges.sparkSession
+    sym = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    kind = sym.schema["a"].dataType.simpleString()
+    reached = spark.createDataFrame([(start, None, 0)], f"node {kind}, via {kind}, hops int")
+    front = reached
+    for h in range(1, longest + 1):
+        nxt = sym.join(small(front.select(F.col("node").alias("a"))), "a").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("via"))
+        front = cut(nxt.join(reached.select("node"), "node", "left_anti").withColumn("hops", F.lit(h)))
+        if front.isEmpty():
+            return []
+        reached = reached.unionByName(front)
+        if not front.where(F.col("node") == goal).isEmpty():
+            path = [goal]
+            while path[-1] != start:
+                path.append(reached.where(F.col("node") == path[-1]).first()["via"])
+            return path[::-1]
+    return []
+
+
+def edge_histogram(edges: DataFrame, key: str) -> DataFrame:
+    """Edges of each type at each node."""
+    x = edges.select(F.explode(F.array("a", "b")).alias(key), "type")
+    return x.groupBy(key).pivot("type", list(TYPES)).count().fillna(0)

@@ -115,9 +115,7 @@ def scan_quality(s, d):
     return _crawls(s, d).where("content is not null").select("crawl_id", C.scan_quality(F.col("content"), F.octet_length("content"), F.col("metadata.type")).alias("quality"))
 
 
-@query("""WITH w AS (SELECT rec_id, i, list_distinct(list_filter(string_split_regex(regexp_replace(lower(x.text), '[^a-z0-9가-힣\\s]', '', 'g'), '\\s+'), lambda z: z <> '')) AS ws FROM (SELECT rec_id, unnest(definitions) AS x, generate_subscripts(definitions, 1) AS i FROM vocabulary) WHERE x.text IS NOT NULL),
-    c AS (SELECT rec_id, w FROM (SELECT rec_id, unnest(ws) AS w FROM w) GROUP BY rec_id, w HAVING count(*) = (SELECT count(*) FROM w v WHERE v.rec_id = rec_id) AND count(*) > 1) SELECT rec_id, w AS word FROM c""" if False else
-       """WITH w AS (SELECT rec_id, list_distinct(list_filter(string_split_regex(regexp_replace(lower(x.text), '[^a-z0-9가-힣\\s]', '', 'g'), '\\s+'), lambda z: z <> '')) AS ws FROM (SELECT rec_id, unnest(definitions) AS x FROM vocabulary) WHERE x.text IS NOT NULL),
+@query("""WITH w AS (SELECT rec_id, list_distinct(list_filter(string_split_regex(regexp_replace(lower(x.text), '[^a-z0-9가-힣\\s]', '', 'g'), '\\s+'), lambda z: z <> '')) AS ws FROM (SELECT rec_id, unnest(definitions) AS x FROM vocabulary) WHERE x.text IS NOT NULL),
     n AS (SELECT rec_id, count(*) AS n FROM w GROUP BY rec_id), c AS (SELECT rec_id, unnest(ws) AS word FROM w) SELECT c.rec_id, word FROM c JOIN n USING (rec_id) GROUP BY c.rec_id, word, n.n HAVING count(*) = n.n AND n.n > 1""".replace("\\\\s", "\\s"))
 def word_set_common(s, d):
     """Words that all definitions of an entry share."""

@@ -20,7 +20,7 @@ def read_csv(spark: SparkSession, path: str, required: tuple[str, ...] = ()) ->
 
 def split_list(c: Column) -> Column:
     """The parts of a semicolon list, trimmed, empty ones dropped."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def contact_languages(countries: Column, mapping: dict[str, list[str]]) -> Column:

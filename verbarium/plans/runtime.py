@@ -54,6 +54,8 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     at = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     w = df.write.mode("overwrite")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(at)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)  # gone with the application
     return spark.read.schema(df.schema).parquet(at)
 
 
@@ -68,5 +70,9 @@ def width(spark: SparkSession, least: int = 1) -> int:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows dealt to all cores before per-row Python work (a small file would else be one task)."""
-    return df.repartition(width(df.sparkSession), *keys)
+    """Rows dealt to all cores before per-row Python work, where the files are so few that most cores would idle; an input of
+    many splits is left as it is (no shuffle)."""
+    spark = df.sparkSession
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return df if not keys and size >= 4 * split * width(spark) else df.repartition(width(spark), *keys)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verbarium.llm.pages import is_scan, path_of
-from verbarium.plans.runtime import width
+from verbarium.plans.runtime import spread
 
 GRAMS = (1, 2, 3, 4)
 _SENTENCE = re.compile(r"[^.!?…。]*(?:[.!?…。]+[”»\"’')\]]*(?=\s|$)|[.!?…。]+|$)", re.S)
@@ -191,7 +191,7 @@ def segments(df: DataFrame, key: str, content: str, model: Model, price: float =
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SEGMENTS.split(", ")])
 
     src = df.where(F.col(content).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(content).alias("content"))
-    return src.repartition(width(spark)).mapInPandas(run, SEGMENTS)
+    return spread(src).mapInPandas(run, SEGMENTS)
 
 
 def notation_table(names: DataFrame | None = None) -> dict[str, str]:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verbarium.plans.runtime import stored, width
+from verbarium.plans.runtime import spread, stored
 
 #: Cells of one round of the histogram; a cell of the last round holds 1 / CELLS**2 of a source.
 CELLS = 4096
@@ -56,7 +56,7 @@ def token_counts(df: DataFrame, keys: list[str], text: str, tokenizer: str | Non
             yield b.drop(columns="__text").assign(tokens=n)
 
     src = df.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    return src.repartition(width(df.sparkSession)).mapInPandas(run, schema)
+    return spread(src).mapInPandas(run, schema)
 
 
 @dataclass

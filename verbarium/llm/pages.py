@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verbarium.plans.runtime import stored
+from verbarium.plans.runtime import spread, stored
 
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", re.I)
 _SEPARATED = re.compile(r"\s+[|·•>/]\s+|\s*»\s*|\t+| {3,}")
@@ -99,8 +99,7 @@ def page_lines(df: DataFrame, key: str, url: str, content: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in LINE_SCHEMA.split(", ")])
 
     src = df.where(F.col(content).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.col(content).alias("content"))
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return src.repartition(n).mapInPandas(run, LINE_SCHEMA)
+    return spread(src).mapInPandas(run, LINE_SCHEMA)
 
 
 def site_lines(df: DataFrame, key: str, url: str, content: str, share: float = 0.06) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verbarium.llm.pages import is_scan
-from verbarium.plans.runtime import small, stored, width
+from verbarium.plans.runtime import small, spread, stored, width
 
 HEAD, NUMBER, BODY, BREAK = range(4)
 # Fixed values: (misread, written), as recognition confuses them.
@@ -247,7 +247,7 @@ def labelled(df: DataFrame, key: str, content: str, model: LineModel) -> DataFra
                         rows.append((doc, i, j, "word", w, None, None))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _TOKENS.split(", ")]).astype({"next_no": "Int32"})
 
-    return _scan_frame(df, key, content).repartition(width(df.sparkSession)).mapInPandas(run, _TOKENS)
+    return spread(_scan_frame(df, key, content)).mapInPandas(run, _TOKENS)
 
 
 def lexicon(df: DataFrame, content: str) -> DataFrame:

@@ -102,3 +102,9 @@ def test_runtime(spark, tmp_path):
     assert runtime.stored(df, "t").count() == 10 and runtime.cut(df).count() == 10
     assert "broadcast" in runtime.small(df, 10)._jdf.queryExecution().toString().lower()
     assert "ResolvedHint" not in runtime.small(df, 9)._jdf.queryExecution().toString()
+
+
+def test_spread(spark):
+    few = spark.range(10)
+    assert runtime.spread(few).rdd.getNumPartitions() == runtime.width(spark)
+    assert runtime.spread(spark.createDataFrame([(1,)], "a int")).count() == 1

@@ -73,6 +73,6 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows dealt to all cores before per-row Python work, where the files are so few that most cores would idle; an input of
     many splits is left as it is (no shuffle)."""
     spark = df.sparkSession
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     return df if not keys and size >= 4 * split * width(spark) else df.repartition(width(spark), *keys)

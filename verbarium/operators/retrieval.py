@@ -160,3 +160,22 @@ def round_score(c: str) -> Column:
     return F.round(F.col(c), 6)
 
 
+
+
+def _deletions(word: Column, edits: int) -> Column:
+    """The word and all forms with up to ``edits`` characters taken out."""
+    out = F.array(word)
+    for _ in range(edits):
+        out = F.array_distinct(F.flatten(F.transform(out, lambda w: F.concat(F.array(w), F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))))))
+    return out
+
+
+def fuzzy_join(left: DataFrame, right: DataFrame, word: str, edits: int = 1, scope: str | None = None) -> DataFrame:
+    """Pairs of words within ``edits`` edits, exactly, by a hash join on deletion forms: words that close share a form, so no
+    pair is compared that shares none. Columns of the sides get the suffixes ``_l`` and ``_r``; words are made distinct."""
+    keys = [word] + ([scope] if scope else [])
+    side = lambda d, s: d.select(*(F.col(k).alias(k + s) for k in keys)).where(F.col(word + s).isNotNull()).distinct().withColumn("form", F.explode(_deletions(F.col(word + s), edits)))
+    a, b = side(left, "_l"), side(right, "_r")
+    on = (a["form"] == b["form"]) & ((a[scope + "_l"] == b[scope + "_r"]) if scope else F.lit(True))
+    x = a.join(b, on).drop("form").distinct()
+    return x.where(F.levenshtein(word + "_l", word + "_r", edits) >= 0)

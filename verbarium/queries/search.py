@@ -185,9 +185,22 @@ def quick_search(spark: SparkSession, d: str) -> DataFrame:
     return lang.union(voc).union(gra)
 
 
+def fuzzy_word_join(spark: SparkSession, d: str) -> DataFrame:
+    """Different words of English definitions up to two edits apart."""
+    v = table(spark, d, "vocabulary").select(F.explode("definitions").alias("d")).where("d.language = 'en'")
+    w = v.select(F.explode(X.tokens(F.col("d.text"))).alias("w")).where(F.col("w").rlike("^[a-z]{3,8}$")).distinct()
+    return R.fuzzy_join(w, w, "w", 2).where("w_l < w_r").select(F.col("w_l").alias("a"), F.col("w_r").alias("b"))
+
+
+def substring_search(spark: SparkSession, d: str) -> DataFrame:
+    """Case-insensitive containment over the joined fields of an entry."""
+    text = F.lower(F.concat_ws(" ", "headword_native", "headword_romanized", "semantic_cluster", F.array_join(F.transform("definitions", lambda x: x["text"]), " ")))
+    return table(spark, d, "vocabulary").where(text.contains("fishing net")).select("rec_id")
+
+
 QUERIES = {f.__name__: f for f in (
     bm25_documents, definition_bm25, multi_field_best, prefix_match, romanize, fuzzy_ascii, edge_ngrams, ipa_key, knn_cosine, similar_entries, rrf_hybrid,
-    entry_search, hybrid_search, cluster_fill, significant_terms, significant_related, grammar_search, language_search, quick_search,
+    entry_search, hybrid_search, cluster_fill, significant_terms, significant_related, grammar_search, language_search, quick_search, fuzzy_word_join, substring_search,
 )}
 
 
@@ -198,6 +211,9 @@ def _sig(n: str, x: str, cond: str) -> str:
 
 
 SQL = {
+    "fuzzy_word_join": f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(d.text), '{TOK}')) AS w FROM (SELECT unnest(definitions) AS d FROM vocabulary) WHERE d.language = 'en'), v AS (SELECT w FROM w WHERE regexp_matches(w, '^[a-z]{{3,8}}$'))
+        SELECT x.w AS a, y.w AS b FROM v x JOIN v y ON x.w < y.w AND levenshtein(x.w, y.w) <= 2""",
+    "substring_search": "SELECT rec_id FROM vocabulary WHERE contains(lower(concat_ws(' ', headword_native, headword_romanized, semantic_cluster, array_to_string(list_transform(definitions, lambda x: x.text), ' '))), 'fishing net')",
     "bm25_documents": BM25_SQL,
     "definition_bm25": DEFINITION_SQL,
     "multi_field_best": _fields_sql(),

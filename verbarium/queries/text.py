@@ -110,7 +110,9 @@ def page_strategy(s, d):
     return _crawls(s, d).select("crawl_id", C.page_strategy(F.col("content")).alias("strategy"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT crawl_id, content, metadata.type AS kind, length(content) AS n, strlen(content) / 1024.0 AS kb, regexp_replace(content, '\s', '', 'g') AS bare FROM crawl_results WHERE content IS NOT NULL),
+    r AS (SELECT *, CASE WHEN length(bare) = 0 THEN 0 ELSE length(regexp_replace(bare, '[^a-zA-Z0-9.,;:!?()''"-]', '', 'g')) / length(bare) END AS q FROM t)
+    SELECT crawl_id, CASE WHEN n < 50 OR q < 0.4 THEN 'degraded' WHEN n >= 200 AND q > 0.8 THEN 'clean' WHEN kb < 500 AND n >= 100 AND q > 0.7 THEN 'clean' WHEN kind IN ('academic', 'wiki') AND n >= 150 AND q > 0.75 THEN 'clean' ELSE 'unknown' END AS quality FROM r""")
 def scan_quality(s, d):
     return _crawls(s, d).where("content is not null").select("crawl_id", C.scan_quality(F.col("content"), F.octet_length("content"), F.col("metadata.type")).alias("quality"))
 

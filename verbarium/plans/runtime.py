@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,22 @@ def session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: str) ->
     return b.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Make this package importable on the executors, once for each application (Spark serves the archive to them)."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parents[1]
+        with tempfile.TemporaryDirectory() as tmp:
+            shutil.copytree(root, Path(tmp, "src", root.name), ignore=shutil.ignore_patterns("__pycache__"))
+            at = shutil.make_archive(os.path.join(tempfile.mkdtemp(), f"{root.name}-{uuid.uuid4().hex[:8]}"), "zip", Path(tmp, "src"))
+        spark.sparkContext.addPyFile(at)
+        _shipped.add(app)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -92,3 +92,8 @@ def test_empty(spark):
     df = spark.createDataFrame([], "crawl_id long, content string")
     assert S.faulty_lines(df, "crawl_id", "content").count() == 0
     assert S.repair(df, "crawl_id", "content").count() == 0
+
+
+def test_page_numbers():
+    assert all(map(S.is_number, ["12", "- 12 -", "[l00]", "p. 9", "Page 31", "xxiv", "XI", "- lOO -", "l0", "pag. 7"]))
+    assert not any(map(S.is_number, ["solo", "sol.", "1954.", "los", "lo", "mix it", "el 12", "", "abc", "12 13"]))

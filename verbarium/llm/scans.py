@@ -32,12 +32,24 @@ CONFUSIONS = (
     ("cl", "d"), ("li", "h"), ("vv", "w"), ("ii", "n"), ("ii", "u"), ("d", "cl"), ("m", "rn"), ("h", "li"),
 )
 WORD = re.compile(r"[^\W_]+(?:[’'ʼ][^\W_]+)*")
-_NUMBER = re.compile(r"^[\[(\-–—~. ]*(?:(?:p|pp|pag|pág|page|página|hal|halaman|стр|s)\b\.?\s*)?(?=[0-9lIoOivxcdmIVXLCDM])(?:[0-9lIoOSB]{1,5}|[ivxlcdm]{1,9}|[IVXLCDM]{1,9})[\])\-–—~. ]*$", re.I)
+_NUMBER = re.compile(r"^[\[(\-–—~ ]*(?:(?:p|pp|pag|pág|page|página|hal|halaman)\b\.?\s*)?([0-9A-Za-z]{1,9})[\])\-–—~ ]*$", re.I)
+_ROMAN = re.compile(r"^(?=.)m*(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$", re.I)
 _EDGE_NUMBER = re.compile(r"^\s*(?:(?=\S*\d)\S{1,5}|[lIoO]{1,5}|[ivxlcdm]{1,9})\s{2,}\S|\S\s{2,}(?:(?=\S*\d)\S{1,5}|[lIoO]{1,5}|[ivxlcdm]{1,9})\s*$")
 _BROKEN = re.compile(r"([^\W\d_]+(?:[’'ʼ][^\W\d_]+)*)([-\u00ad\u2010\u2011\u00ac])\s*$")
 _FOLD = str.maketrans({"0": "o", "1": "i", "l": "i", "í": "i", "t": "i", "f": "i", "5": "s", "9": "g", "6": "b", "c": "e"})
 
 
+def is_number(line: str) -> bool:
+    """Whether a line holds nothing but a page number: digits (some misread as letters) or a Roman numeral, with marks and a
+    word for page around it. A full stop after it makes it the end of a sentence."""
+    m = _NUMBER.match(line)
+    if not m:
+        return False
+    t = m.group(1)
+    digits = bool(re.fullmatch(r"[0-9lIoOSBZ]{1,6}", t)) and (any(c.isdigit() for c in t) or bool(re.fullmatch(r"[lIO]+", t)) and (len(t) > 1 or line.strip() != t))
+    return digits or bool(_ROMAN.match(t)) and (t.islower() or t.isupper())
+
+
 def _skeleton(line: str) -> str:
     s = re.sub(r"^\s*\S{1,9}\s{2,}|\s{2,}\S{1,9}\s*$", "", line)
     return re.sub(r"[\W_]", "", s.lower().translate(_FOLD))
@@ -48,7 +60,7 @@ def features(lines: list[str]) -> np.ndarray:
     n = len(lines)
     strip = [x.strip() for x in lines]
     measure = np.median([len(x) for x in strip if len(x) > 20] or [1])
-    number = [bool(x) and bool(_NUMBER.match(x)) for x in strip]
+    number = [bool(x) and is_number(x) for x in strip]
     keys: dict[str, int] = defaultdict(int)
     parts = []
     for x, num in zip(lines, number):

@@ -108,3 +108,67 @@ def test_spread(spark):
     few = spark.range(10)
     assert runtime.spread(few).rdd.getNumPartitions() == runtime.width(spark)
     assert runtime.spread(spark.createDataFrame([(1,)], "a int")).count() == 1
+
+
+def _score(docs, query):
+    """BM25 of word lists, by the published formula."""
+    import math
+
+    n, avg = len(docs), sum(map(len, docs)) / len(docs)
+    out = []
+    for d in docs:
+        t = 0.0
+        for q in dict.fromkeys(query):
+            df = sum(q in x for x in docs)
+            tf = d.count(q)
+            t += math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / avg))
+        out.append(t)
+    return out
+
+
+def test_entry_search_against_formula(spark):
+    ex = "array<struct<target:string,contact:string,english:string>>"
+    rows = [
+        (1, "fishing net", "fishing net", None, "a net", [("en", "fishing net")], [("t", None, "the net")]),
+        (2, "tol", "nets", "/net/", None, [("en", "net of fishing boats"), ("fr", None)], None),
+        (3, None, None, None, None, None, []),
+        (4, "other", "other", "/o/", "none", [("en", "stone")], [(None, "net", None)]),
+    ]
+    df = spark.createDataFrame(rows, f"rec_id long, headword_native string, headword_romanized string, ipa string, cultural_context string, definitions array<struct<language:string,text:string>>, example_sentences {ex}")
+    got = {r["rec_id"]: r["score"] for r in retrieval.entry_search(df, "rec_id", "fishing net").collect()}
+    w = lambda t: (t or "").lower().split()
+    pre = lambda t: [x[:k] for x in w(t) for k in range(2, min(15, len(x)) + 1)]
+    q = ["fishing", "net"]
+    nested = lambda r, at, f: [x for e in r[at] or [] for x in w(e[f])]
+    ipa = lambda t: [t.replace("/", "")] if t is not None else [None]
+    clauses = [([[r[1]] for r in rows], ["fishing net"], 3), ([w(r[1]) for r in rows], q, 2), ([pre(r[1]) for r in rows], q, 1.5), ([[r[2]] for r in rows], ["fishing net"], 3), ([w(r[2]) for r in rows], q, 2),
+               ([w(r[2]) for r in rows], q, 2.5), ([ipa(r[3]) for r in rows], ["fishing net"], 1.5), ([w(r[4]) for r in rows], q, 1)]
+    best = [max(c[k] for c in [[s * b for s in _score(d, qq)] for d, qq, b in clauses]) for k in range(4)]
+    rest = [(_score([w(r[2]) for r in rows], q), 3.5), (_score([nested(r, 5, 1) for r in rows], q), 2), (_score([nested(r, 6, 0) for r in rows], q), 1.5), (_score([nested(r, 6, 1) for r in rows], q), 1.5), (_score([nested(r, 6, 2) for r in rows], q), 1)]
+    want = {r[0]: best[k] + sum(s[k] * b for s, b in rest) for k, r in enumerate(rows)}
+    assert got == {k: pytest.approx(v) for k, v in want.items() if v > 0}
+
+
+def test_rank_fusion_ignores_list_order(spark):
+    a = spark.createDataFrame([(1, 3.0), (2, 2.0), (3, 1.0)], "k long, score double")
+    b = spark.createDataFrame([(3, 9.0), (4, 8.0)], "k long, score double")
+    one = {r["k"]: r["rrf"] for r in retrieval.rank_fusion([a, b], "k").collect()}
+    assert one == pytest.approx({1: 1 / 21, 2: 1 / 22, 3: 1 / 23 + 1 / 21, 4: 1 / 22})
+    assert {r["k"]: r["rrf"] for r in retrieval.rank_fusion([b, a], "k").collect()} == pytest.approx(one)
+
+
+def test_fuzzy_join_against_all_pairs(spark):
+    words = ["loom", "room", "boom", "lamp", "lamps", "clamp", "a", "ab", "stone", "stoen", "atone", "", "x"]
+    df = spark.createDataFrame([(w,) for w in words] + [(None,), ("loom",)], "w string")
+
+    def lev(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            prev, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+        return row[-1]
+
+    for d in (1, 2):
+        got = {tuple(r) for r in retrieval.fuzzy_join(df, df, "w", d).select("w_l", "w_r").collect()}
+        assert got == {(a, b) for a in words for b in words if lev(a, b) <= d}

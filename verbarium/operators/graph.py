@@ -79,7 +79,7 @@ def top_graph(nodes: DataFrame, edges: DataFrame, key: str, most: int = 400, per
 
 def neighbourhood(edges: DataFrame, roots: DataFrame, key: str, depth: int = 2, most: int = 50) -> DataFrame:
     """(``key``, ``hops``): nodes within ``depth`` hops of the roots, nearest first, at most ``most`` (the feature's cap)."""
-    sym = edges.select("a", "b").union(edges.select("b", "a"))
+    sym = cut(edges.select("a", "b").union(edges.select("b", "a")))
     seen = roots.select(key).distinct().withColumn("hops", F.lit(0))
     front = seen
     for h in range(1, depth + 1):

@@ -142,14 +142,15 @@ def site_lines(df: DataFrame, key: str, url: str, content: str, share: float = 0
     item_of_menu = (F.col("form") == "short") & (F.col("n_menu") >= 2) & (F.col("n_menu") > F.col("n_gloss"))
     name = F.col("path") == "@"
     x = x.withColumn("site", (F.col("fixed") & (F.col("form") != "arrow") | menu_line | item_of_menu | name) & ~F.col("form").isin("titled", "listed"))
-    # a list under a fixed heading: arrows, glossed and bare entries without a gap; the heading is one that leads to arrows
+    # a list under a fixed heading: arrows, glossed and bare entries without a gap (a known gloss over a paragraph is a
+    # subheading); the heading is one that leads to arrows
     nxt = lambda c, k: F.lead(c, k).over(w)
     arrow_near = F.greatest(*(F.coalesce((nxt("form", k) == "arrow").cast("int"), F.lit(0)) for k in (1, 2, 3)))
     x = x.withColumns({"leads": F.col("site") & (F.col("form") == "short") & ~F.coalesce(nxt("site", 1), F.lit(True)), "near": arrow_near})
     heads = x.where("leads").groupBy("path").agg(F.avg("near").alias("arrows"), F.count("*").alias("n_leads")).where("arrows >= 0.2").select("path", F.lit(True).alias("head"))
     x = x.join(heads, "path", "left")
     head = F.coalesce("head", F.lit(False)) & F.col("site")
-    entry = ~F.col("site") & ~F.col("gap") & (F.col("form").isin("arrow", "titled") | ((F.col("form") == "short") & (F.col("n_gloss") < 2)))
+    entry = ~F.col("site") & ~F.col("gap") & (F.col("form").isin("arrow", "titled") | ((F.col("form") == "short") & ((F.col("n_gloss") < 2) | (F.coalesce(nxt("form", 1), F.lit("")) != "prose"))))
     state = F.when(head, F.lit(1)).when(entry, F.lit(None)).otherwise(F.lit(0))
     x = x.withColumn("state", state).withColumn("open", F.last("state", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     x = x.withColumn("site", F.col("site") | (F.col("state").isNull() & (F.col("open") == 1)) | (F.col("form") == "arrow"))

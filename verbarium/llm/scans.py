@@ -30,6 +30,7 @@ HEAD, NUMBER, BODY, BREAK = range(4)
 CONFUSIONS = (
     ("0", "o"), ("1", "l"), ("1", "i"), ("5", "s"), ("6", "b"), ("8", "b"), ("9", "g"), ("c", "e"), ("f", "t"), ("í", "i"), ("rn", "m"),
     ("cl", "d"), ("li", "h"), ("vv", "w"), ("ii", "n"), ("ii", "u"), ("d", "cl"), ("m", "rn"), ("h", "li"),
+    ("ﬁ", "fi"), ("ﬂ", "fl"),
 )
 WORD = re.compile(r"[^\W_]+(?:[’'ʼ][^\W_]+)*")
 _NUMBER = re.compile(r"^[\[(\-–—~ ]*(?:(?:p|pp|pag|pág|page|página|hal|halaman)\b\.?\s*)?([0-9A-Za-z]{1,9})[\])\-–—~ ]*$", re.I)
@@ -304,7 +305,8 @@ def judged(df: DataFrame, key: str, content: str, sample: int = 400, least: int
     j = joined.withColumn("t", F.lower("tail")).join(part, "t", "left").join(whole, "word", "left").join(fixes.where("original is not null"), "word", "left")
     tail_word = (F.coalesce("n_tail", F.lit(0)) >= least) & (F.length("tail") >= 1)
     one_word = F.col("n_whole").isNotNull() | F.col("original").isNotNull() | ~tail_word | (F.length("head") > affix)
-    lower = ~F.substring("tail", 1, 1).rlike(r"[\p{Lu}\d]") | (F.upper("head") == F.col("head")) & (F.length("head") > 1)
+    # the part on the next line goes on in lower case (a misread digit may stand for its first letter), or in capitals after capitals
+    lower = ~F.col("tail").rlike(r"^(?:\p{Lu}|\d+$)") | F.col("head").rlike(r"\p{Lu}$")
     broken = j.where((F.col("kind") == "joined-soft") | (lower & one_word)).select("doc", "line_no", "next_no", "word", "head", "tail", "original")
     return tokens, fixes, stored(broken, "p6-broken")
 

@@ -33,6 +33,8 @@ MULTI = "utf-8"
 WRONG = ("latin-1", "cp1252", "cp1251", "cp437", "cp866", "mac_roman", "koi8-r", "cp1250", "cp850")
 RIGHT_BYTE = ("cp1251", "koi8-r", "cp866", "cp949", "latin-1", "cp1252", "mac_roman", "iso8859-5")
 DOUBLE = ("latin-1", "cp1252", "cp1251", "mac_roman")
+#: Non-ASCII characters that a form of a one-byte chain must hold.
+DENSE = 3
 TYPOGRAPHIC = set("’‘“”„«»‹›—–…¿¡·ʼ№°§")
 
 _RUN = re.compile("[^\x00-\x7f]+")
@@ -67,7 +69,8 @@ def unread(text: str, wrong: str) -> bytes | None:
 
 
 def forms(word: str) -> Iterator[tuple[str, str]]:
-    """(garbled form, chain) under all chains; a form that equals the word is none."""
+    """(garbled form, chain) under all chains; a form that equals the word is none, nor is a form of a one-byte chain with
+    fewer than ``DENSE`` non-ASCII characters, which would prove nothing (see above)."""
     seen = {word}
     raw = word.encode(MULTI, "surrogatepass")
     for e in WRONG:
@@ -86,6 +89,8 @@ def forms(word: str) -> Iterator[tuple[str, str]]:
             raw = word.encode(right)
         except UnicodeEncodeError:
             continue
+        if sum(b > 127 for b in raw) < DENSE:
+            continue
         for e in WRONG:
             if e != right and (one := misread(raw, e)) not in seen:
                 seen.add(one)
@@ -203,7 +208,7 @@ def garbled_words(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     made = spread(counts, "word").mapInPandas(table, "form string, original string, chain string, n_original long")
     one_byte = ~F.col("chain").startswith(MULTI)
-    dense = F.length(F.regexp_replace("word", "[\\x00-\\x7F]", "")) >= 3
+    dense = F.length(F.regexp_replace("word", "[\\x00-\\x7F]", "")) >= DENSE
     hits = (
         made.join(counts, made["form"] == counts["word"])
         .where(~one_byte | (dense & (F.col("n") < F.col("n_original"))))

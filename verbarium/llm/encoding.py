@@ -190,14 +190,17 @@ def garbled_words(docs: DataFrame, key: str, text: str) -> DataFrame:
     present = frozenset(seen)
     alphabet = frozenset(c for c, n in seen.items() if n > 1 and is_letter(c))
 
+    ascii_ = frozenset(map(chr, range(128)))
+    known, clean = present | ascii_, alphabet | ascii_
+
     def table(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for word, n in zip(b["word"], b["n"]):
-                if any(not c.isascii() and c not in alphabet for c in word) or any(run_back(r, alphabet) for r in _RUN.findall(word)):
+                if not clean.issuperset(word) or any(run_back(r, alphabet) for r in _RUN.findall(word)):
                     continue
                 for form, chain in forms(word):
-                    if all(c.isascii() or c in present for c in form):
+                    if known.issuperset(form):
                         out.append((form, word, chain, n))
             yield pd.DataFrame(out, columns=["form", "original", "chain", "n_original"])
 

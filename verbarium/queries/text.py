@@ -62,13 +62,16 @@ def _share(k: str, of: str) -> str:
     return f"length(regexp_replace({of}, '[^{_SCRIPT[k]}]', '', 'g'))"
 
 
-@query(f"""WITH t AS (SELECT doc_id, text, length(regexp_replace(text, '\\s', '', 'g')) AS n FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '{C.JEJU}'))
-    SELECT doc_id, CASE WHEN n = 0 THEN 'en' WHEN {_share('ko', 'text')} / n > 0.3 THEN 'ko' WHEN {_share('ru', 'text')} / n > 0.3 THEN 'ru' ELSE 'en' END AS script_lang,
-    CASE WHEN n = 0 THEN 0 WHEN {_share('ko', 'text')} / n > 0.3 THEN floor(least(0.95, {_share('ko', 'text')} / n + 0.2) * 1000 + 0.5) / 1000 WHEN {_share('ru', 'text')} / n > 0.3 THEN floor(least(0.95, {_share('ru', 'text')} / n + 0.2) * 1000 + 0.5) / 1000
-    ELSE floor(greatest(0.5, 1 - {_share('ko', 'text')} / n * 2) * 1000 + 0.5) / 1000 END::DOUBLE AS confidence FROM t""".replace("\\\\s", "\\s"))
+_JEJU = f"(len(regexp_extract_all(text, '{C.JEJU}')) + len(regexp_extract_all(text, 'ᆞ')))"
+
+
+@query(f"""WITH t AS (SELECT doc_id, text, {_JEJU} AS j, length(regexp_replace(text, '\\s', '', 'g')) AS n FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, CASE WHEN n = 0 THEN 'en' WHEN j > 0 THEN 'jje' WHEN {_share('ko', 'text')} / n > 0.3 THEN 'ko' WHEN {_share('ru', 'text')} / n > 0.3 THEN 'ru' ELSE 'en' END AS script_lang,
+    CASE WHEN n = 0 THEN 0 WHEN j > 0 THEN floor(least(0.95, 0.6 + j * 0.1) * 1000 + 0.5) / 1000 WHEN {_share('ko', 'text')} / n > 0.3 THEN floor(least(0.95, {_share('ko', 'text')} / n + 0.2) * 1000 + 0.5) / 1000
+    WHEN {_share('ru', 'text')} / n > 0.3 THEN floor(least(0.95, {_share('ru', 'text')} / n + 0.2) * 1000 + 0.5) / 1000 ELSE floor(greatest(0.5, 1 - {_share('ko', 'text')} / n * 2) * 1000 + 0.5) / 1000 END::DOUBLE AS confidence FROM t""")
 def lang_detect_script(s, d):
     lang, conf = C.script_language(F.col("text"))
-    return table(s, d, "documents").where("text is not null").where(~F.col("text").rlike(C.JEJU)).select("doc_id", lang.alias("script_lang"), conf.cast("double").alias("confidence"))
+    return table(s, d, "documents").where("text is not null").select("doc_id", lang.alias("script_lang"), conf.cast("double").alias("confidence"))
 
 
 @query(f"""SELECT doc_id, CASE WHEN lang IS NOT NULL AND lang <> '' THEN lang WHEN {_share('ko', 'substr(text, 1, 1000)')} > length(regexp_replace(substr(text, 1, 1000), '\\s', '', 'g')) * 0.15 THEN 'ko'
@@ -181,10 +184,10 @@ def dictionary_lines(s, d):
     return W.gloss_lines(_crawls(s, d), "crawl_id", "content")
 
 
-@query("SELECT raw_id, json_valid(payload) AS readable FROM raw_entries WHERE payload IS NOT NULL AND payload NOT LIKE '%NaN%'")
+@query("SELECT raw_id, json_valid(payload) AS readable FROM raw_entries WHERE payload IS NOT NULL")
 def json_readable(s, d):
     """Whether an answer parses as JSON (VARIANT)."""
-    x = table(s, d, "raw_entries").where("payload is not null and payload not like '%NaN%'")
+    x = table(s, d, "raw_entries").where("payload is not null")
     return x.select("raw_id", F.try_parse_json("payload").isNotNull().alias("readable"))
 
 

@@ -35,7 +35,7 @@ def test_chunks():
 
 
 def test_script_language(spark):
-    lang, conf = C.script_language(F.col("v"))
+    lang, conf = C.script_language(C.script_counts(F.col("v")))
     assert col(spark, ["", "한국어 글", "слово", "plain", "하르방 이야기"], lang) == ["en", "ko", "ru", "en", "jje"]
     assert col(spark, ["", "plain"], conf) == [0.0, 1.0]
 

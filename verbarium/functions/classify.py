@@ -85,11 +85,16 @@ def count_in(c: Column, lang: str) -> Column:
     return F.regexp_count(c, F.lit(f"[{RANGES[lang]}]"))
 
 
-def script_language(c: Column) -> tuple[Column, Column]:
-    """(language, confidence) by the share of each script among the characters that are no space."""
-    total = F.length(F.regexp_replace(c, r"\s", ""))
-    share = {k: F.try_divide(count_in(c, k), total) for k in FULL_ORDER}
+def script_counts(c: Column) -> Column:
+    """What :func:`script_language` needs to know of a text, to be computed in a projection of its own (each count once)."""
     jeju = F.regexp_count(c, F.lit(JEJU)) + F.regexp_count(c, F.lit("ᆞ"))
+    return F.struct(F.length(F.regexp_replace(c, r"\s", "")).alias("total"), jeju.alias("jeju"), *(count_in(c, k).alias(k) for k in FULL_ORDER))
+
+
+def script_language(counts: Column) -> tuple[Column, Column]:
+    """(language, confidence) by the share of each script among the characters that are no space, from its counts."""
+    total, jeju = counts["total"], counts["jeju"]
+    share = {k: F.try_divide(counts[k], total) for k in FULL_ORDER}
     lang, conf = F.when(total == 0, "en").when(jeju > 0, "jje"), F.when(total == 0, 0.0).when(jeju > 0, round_half_up(F.least(F.lit(0.95), 0.6 + jeju * 0.1), 3))
     for k in FULL_ORDER:
         lang = lang.when(share[k] > 0.3, k)

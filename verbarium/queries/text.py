@@ -70,8 +70,9 @@ _JEJU = f"(len(regexp_extract_all(text, '{C.JEJU}')) + len(regexp_extract_all(te
     CASE WHEN n = 0 THEN 0 WHEN j > 0 THEN floor(least(0.95, 0.6 + j * 0.1) * 1000 + 0.5) / 1000 WHEN {_share('ko', 'text')} / n > 0.3 THEN floor(least(0.95, {_share('ko', 'text')} / n + 0.2) * 1000 + 0.5) / 1000
     WHEN {_share('ru', 'text')} / n > 0.3 THEN floor(least(0.95, {_share('ru', 'text')} / n + 0.2) * 1000 + 0.5) / 1000 ELSE floor(greatest(0.5, 1 - {_share('ko', 'text')} / n * 2) * 1000 + 0.5) / 1000 END::DOUBLE AS confidence FROM t""")
 def lang_detect_script(s, d):
-    lang, conf = C.script_language(F.col("text"))
-    return table(s, d, "documents").where("text is not null").select("doc_id", lang.alias("script_lang"), conf.cast("double").alias("confidence"))
+    lang, conf = C.script_language(F.col("counts"))
+    x = table(s, d, "documents").where("text is not null").select("doc_id", C.script_counts(F.col("text")).alias("counts"))
+    return x.select("doc_id", lang.alias("script_lang"), conf.cast("double").alias("confidence"))
 
 
 @query(f"""SELECT doc_id, CASE WHEN lang IS NOT NULL AND lang <> '' THEN lang WHEN {_share('ko', 'substr(text, 1, 1000)')} > length(regexp_replace(substr(text, 1, 1000), '\\s', '', 'g')) * 0.15 THEN 'ko'

@@ -165,12 +165,12 @@ def term_headword_join(s, d):
     return e.join(h, ["headword_native", "language_code"]).where("target <> source").select("source", "target", "language_code").distinct()
 
 
-@query("""WITH c AS (SELECT lower(trim(headword_romanized)) AS w, min(audio_url) AS url FROM vocabulary WHERE audio_url IS NOT NULL AND headword_romanized IS NOT NULL GROUP BY 1), v AS (SELECT rec_id, lower(trim(headword_native)) AS n, lower(trim(headword_romanized)) AS r FROM vocabulary WHERE audio_url IS NULL OR audio_url = '')
+@query("""WITH c AS (SELECT lower(trim(headword_romanized, ' ')) AS w, min(audio_url) AS url FROM vocabulary WHERE audio_url <> '' AND headword_romanized IS NOT NULL GROUP BY 1), v AS (SELECT rec_id, lower(trim(headword_native, ' ')) AS n, lower(trim(headword_romanized, ' ')) AS r FROM vocabulary WHERE audio_url IS NULL OR audio_url = '')
     SELECT rec_id, coalesce(a.url, b.url) AS url, CASE WHEN a.url IS NOT NULL THEN 'native' ELSE 'romanized' END AS how FROM v LEFT JOIN c a ON a.w = v.n LEFT JOIN c b ON b.w = v.r WHERE coalesce(a.url, b.url) IS NOT NULL""")
 def clip_cascade_match(s, d):
     """Clips for entries without audio: by native headword, else by romanised one (equi joins only)."""
     v = _v(s, d).select("rec_id", F.lower(F.trim("headword_native")).alias("n"), F.lower(F.trim("headword_romanized")).alias("r"), "audio_url")
-    c = v.where("audio_url is not null and r is not null").groupBy(F.col("r").alias("w")).agg(F.min("audio_url").alias("url"))
+    c = v.where("audio_url <> '' and r is not null").groupBy(F.col("r").alias("w")).agg(F.min("audio_url").alias("url"))
     x = v.where("audio_url is null or audio_url = ''").select("rec_id", "n", "r")
     x = x.join(c.select(F.col("w").alias("n"), F.col("url").alias("u1")), "n", "left").join(c.select(F.col("w").alias("r"), F.col("url").alias("u2")), "r", "left")
     return x.where("coalesce(u1, u2) is not null").select("rec_id", F.coalesce("u1", "u2").alias("url"), F.when(F.col("u1").isNotNull(), "native").otherwise("romanized").alias("how"))

@@ -51,3 +51,16 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert E.find_garbled(df, "doc_id", "text").count() == 0
     assert E.restore(df, "doc_id", "text").count() == 0
+
+
+def test_copies_do_not_hide_garbling(spark):
+    """A garbled text copied more often than its words are written rightly, and one that stands in many texts of its own."""
+    clean = "Глагол получает показатель, когда слово значит барабан"
+    koi = clean.encode("koi8-r").decode("cp1251")
+    rows = [(k, clean) for k in range(3)] + [(100 + k, koi) for k in range(20)] + [(200 + k, f"{koi} text {'abcdefgh'[k]}") for k in range(8)]
+    rows += [(k, "나란히 적혀 있다 이름이") for k in (300, 301)] + [(400 + k, f"{'나란히 적혀'.encode('cp949').decode('latin-1')} {k}") for k in range(9)] + [(500, "Глагол получает ШУБА ЛОДКА")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bad = [k for k, _ in rows if 100 <= k < 300 or 400 <= k < 500]
+    assert sorted(r[0] for r in E.find_garbled(df, "doc_id", "text").collect()) == bad
+    got = {r["doc_id"]: r["restored"] for r in E.restore(df, "doc_id", "text").collect()}
+    assert sorted(got) == bad and got[100] == clean and got[400] == "나란히 적혀 0"

@@ -2,12 +2,16 @@
 
 Words are white-space tokens without ASCII punctuation at their ends; only words with a non-ASCII character take part.
 
-1. One count per distinct word (partial aggregation, one shuffle of distinct words).
+1. Per distinct word, the distinct texts and the rows that hold it (copies of a text are one text; one shuffle of distinct
+   texts, one of distinct words).
 2. Clean words (characters of the corpus alphabet, no control or replacement character) are written under every chain
    *right encoding -> wrong encoding* and the double chains. A form with a character that the corpus never holds cannot
    match any token and is left out at once: exact, and it keeps the table small.
-3. The forms are hash-joined with the distinct words. A form of a one-byte chain must be rarer than its original and
-   hold three non-ASCII characters, since any text can be read back through such a chain.
+3. The forms are hash-joined with the distinct words. Any text can be read back through a one-byte chain, so such a form
+   must hold three non-ASCII characters and either stand in fewer texts than its original or be confirmed by its document:
+   over the document's words that the same chain explains, shapes no writing has (see ``oddity``) are weighed against the
+   shapes of the originals, however often the garbled words occur in the corpus. A document with a word of good shape whose
+   "original" has an impossible one contradicts the chain: counts alone then show nothing.
 4. Words without a clean twin in the corpus (names, rare forms) are matched piecewise: the same forms, of the alphabet's
    single characters, must cover each non-ASCII run of the word and give only corpus characters back.
 5. Affected words are joined back to the documents; originals that were verified replace them.
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbarium.plans.runtime import small, spread, stored
@@ -105,6 +109,20 @@ def _script(c: str) -> str:
     return "l" if c.isascii() and c.isalpha() else unicodedata.name(c, "? ").split(" ")[0][:1].lower() if c.isalpha() else ""
 
 
+def oddity(word: str) -> int:
+    """2 if no writing has a word of this shape: capitals after small letters, two scripts, signs among the letters, or two and
+    more Latin letters with none of A-Za-z; 1 for ``DENSE`` and more capitals alone; else 0. A single letter is never odd."""
+    letters = [c for c in word if unicodedata.category(c) in ("Lu", "Ll", "Lt", "Lo") and c not in "ªº"]
+    if len(letters) < 2:
+        return 0
+    scripts = {_script(c) for c in letters}
+    if len(scripts) > 1 or scripts == {"l"} and not any(c.isascii() for c in letters):
+        return 2
+    if any(a.islower() and b.isupper() for a, b in zip(word, word[1:])) or any(c > "\x7f" and not is_letter(c) and unicodedata.category(c)[0] != "M" and c not in "\xa0\xadªº" for c in word):
+        return 2
+    return int(len(letters) >= DENSE and all(c.isupper() for c in letters))
+
+
 def run_back(run: str, alphabet: frozenset[str], depth: int = 2) -> tuple[str, str] | None:
     """(original, chain) of a run that is wholly made of misread UTF-8 characters of ``alphabet``, or None."""
     for e in WRONG:
@@ -181,9 +199,16 @@ def _words(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("__key"), F.explode(w).alias("word"))
 
 
+#: Weight of odd shapes (see ``oddity``) by which a document confirms a one-byte chain: one impossible word, or two in capitals.
+CONFIRMED = 2
+
+
 def garbled_words(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The distinct garbled words of the corpus: ``word``, ``original`` (null: not restorable), ``chain``."""
-    counts = _words(docs, key, text).groupBy("word").agg(F.count("*").alias("n"))
+    """The words of the corpus that may be garbled, once a chain: ``word``, ``original`` (null: not restorable), ``chain``, ``sure``
+    (false: only with its document's evidence), ``gain`` (oddity that the chain removes), ``rarer`` (than its original), ``rank`` (the
+    highest original is taken)."""
+    texts = docs.select(F.col(text).alias("__text")).groupBy("__text").agg(F.count("*").alias("copies"))
+    counts = _words(texts, "copies", "__text").groupBy("word").agg(F.sum("__key").alias("n"), F.count("*").alias("texts"))
     counts = stored(counts, "p10-words")
     chars = counts.select("n", F.explode(F.array_distinct(F.split("word", ""))).alias("c")).where(F.col("c").rlike("[^\\x00-\\x7F]"))
     seen = {r["c"]: r["n"] for r in chars.groupBy("c").agg(F.sum("n").alias("n")).collect()}
@@ -196,39 +221,47 @@ def garbled_words(docs: DataFrame, key: str, text: str) -> DataFrame:
     def table(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for word, n in zip(b["word"], b["n"]):
+            for word, n, n_texts in zip(b["word"], b["n"], b["texts"]):
                 if not clean.issuperset(word) or any(run_back(r, alphabet) for r in _RUN.findall(word)):
                     continue
                 for form, chain in forms(word):
                     if known.issuperset(form):
-                        out.append((form, word, chain, n))
-            yield pd.DataFrame(out, columns=["form", "original", "chain", "n_original"])
+                        out.append((form, word, chain, n, n_texts))
+            yield pd.DataFrame(out, columns=["form", "original", "chain", "n_original", "texts_original"])
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = [(w, *got) for w in b["word"] if (got := piecewise(w, alphabet))]
             yield pd.DataFrame(out, columns=["word", "original", "chain"])
 
-    made = spread(counts, "word").mapInPandas(table, "form string, original string, chain string, n_original long")
+    @F.pandas_udf("int")
+    def gain(words: pd.Series, originals: pd.Series) -> pd.Series:
+        return words.map(oddity) - originals.map(oddity)
+
+    made = spread(counts, "word").mapInPandas(table, "form string, original string, chain string, n_original long, texts_original long")
     one_byte = ~F.col("chain").startswith(MULTI)
     dense = F.length(F.regexp_replace("word", "[\\x00-\\x7F]", "")) >= DENSE
+    rarer = F.struct("texts", -F.col("gain"), "n") < F.struct(F.col("texts_original").alias("texts"), F.lit(0), F.col("n_original").alias("n"))
     hits = (
         made.join(counts, made["form"] == counts["word"])
-        .where(~one_byte | (dense & (F.col("n") < F.col("n_original"))))
-        .groupBy("word")
-        .agg(F.max_by(F.struct("original", "chain"), F.struct("n_original", "original", "chain")).alias("best"))
-        .select("word", "best.original", "best.chain", F.lit(0).alias("tier"))
+        .where(~one_byte | dense)
+        .withColumn("gain", F.when(one_byte, gain("word", "original")).otherwise(0))
+        .withColumns({"rarer": ~one_byte | rarer, "rank": F.struct("n_original", "original")})
+        .groupBy("word", "chain")
+        .agg(F.max_by(F.struct("original", "rarer", "gain", "n_original"), F.struct("rarer", "rank")).alias("best"))
+        .select("word", "best.original", "chain", F.col("best.rarer").alias("sure"), "best.gain", "best.rarer", F.col("best.n_original").alias("rank"))
     )
-    rest = counts.select("word").mapInPandas(pieces, "word string, original string, chain string").withColumn("tier", F.lit(1))
-    both = hits.unionByName(rest).groupBy("word").agg(F.min_by(F.struct("original", "chain"), "tier").alias("best"))
-    return stored(both.select("word", "best.original", "best.chain"), "p10-garbled")
+    rest = counts.select("word").mapInPandas(pieces, "word string, original string, chain string")
+    rest = rest.select("*", F.lit(True).alias("sure"), F.lit(0).alias("gain"), F.lit(True).alias("rarer"), F.lit(-1).cast("long").alias("rank"))
+    return stored(hits.unionByName(rest), "p10-garbled")
 
 
 def find_garbled(docs: DataFrame, key: str, text: str) -> DataFrame:
     """The key of every document with a garbled stretch, once. Null and empty texts are never affected; repeated rows
     of one document give one row; other columns are not read."""
-    bad = garbled_words(docs, key, text)
-    return _words(docs, key, text).join(small(bad.select("word")), "word", "left_semi").select(F.col("__key").alias(key)).distinct()
+    bad = garbled_words(docs, key, text).select("word", "chain", "sure", "gain").distinct()
+    found = _words(docs, key, text).join(small(bad), "word").distinct().groupBy("__key", "chain").agg(F.max("sure").alias("sure"), F.max(F.col("sure") & (F.col("gain") > 0)).alias("better"), F.min("gain").alias("worst"), F.sum("gain").alias("weight"))
+    return found.where(F.col("better") | (F.col("sure") & (F.col("worst") > -CONFIRMED)) | (F.col("weight") >= CONFIRMED)).select(F.col("__key").alias(key)).distinct()
 
 
 def restore(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -237,7 +270,11 @@ def restore(docs: DataFrame, key: str, text: str) -> DataFrame:
     A lost word stays as it stands. ``key`` must identify a row; rows that repeat a key count as one document.
     """
     bad = garbled_words(docs, key, text)
-    found = _words(docs, key, text).join(small(bad), "word")
+    found = _words(docs, key, text).join(small(bad), "word").distinct()
+    w = Window.partitionBy("__key", "chain")
+    found = found.withColumns({"weight": F.sum("gain").over(w), "worst": F.min("gain").over(w)})
+    found = found.where(F.col("sure") & ((F.col("gain") > 0) | (F.col("worst") > -CONFIRMED)) | (F.col("weight") >= CONFIRMED) & (F.col("rarer") | (F.col("gain") > 0)))
+    found = found.groupBy("__key", "word").agg(F.max_by(F.struct("original", "chain"), F.struct("rank", "original", "chain")).alias("best")).select("__key", "word", "best.*")
     per = found.groupBy("__key").agg(
         F.map_from_entries(F.collect_set(F.when(F.col("original").isNotNull(), F.struct("word", "original")))).alias("fix"),
         F.array_sort(F.collect_set("chain")).alias("chains"),

@@ -37,6 +37,20 @@ def test_held_out_pages(spark):
     assert not {d for d, _ in got} & {1000, 1001, 1002, 1003, 1004}
 
 
+def test_rare_site_lines(spark):
+    """A site line on 5 % of a big site's pages, in a block of site lines, is found by its ratio; the article's own headings stay."""
+    rows, truth = corpus(420, 1)
+    for k in range(0, 420, 20):
+        lines = rows[k][2].split("\n")
+        at = lines.index("Share this page") + 1
+        rows[k] = (k, rows[k][1], "\n".join([*lines[:at], "Guest book open", *lines[at:]]), "clash")
+        truth = {(d, i + (d == k and i >= at)) for d, i in truth} | {(k, at)}
+    got = {tuple(r) for r in P.site_lines(frame(spark, rows), "crawl_id", "url", "content").collect()}
+    rare = {(k, i) for k in range(0, 420, 20) for i, x in enumerate(rows[k][2].split("\n")) if x == "Guest book open"}
+    assert len(rare) == 21 and rare <= got
+    assert len(got & truth) / len(truth) > 0.97 and len(got & truth) / len(got) > 0.97
+
+
 def test_main_content(spark):
     rows, truth = corpus(30)
     got = {r["crawl_id"]: r["body"] for r in P.main_content(frame(spark, rows + [(99, "u", None, "")]), "crawl_id", "url", "content").collect()}

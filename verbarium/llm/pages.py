@@ -2,16 +2,18 @@
 
 Extracted pages have no tags left, so a line's place in the page is its path: site (host) / line form / normal text, in
 which digits, the site's own name and a trailing variable part (the last step of a breadcrumb, the value after a label)
-are generalised. Over all pages of the corpus each path gets its *ratio*: characters, weighted by punctuation, per page of
-the site that holds the path. Content paths are new on every page (ratio near their own length); site paths recur (ratio
-near zero). Ratios are smoothed along the page (a short heading over a paragraph takes its paragraph's ratio), fused with
-what the separators of menus and the glosses of word lists tell about short lines, and thresholded.
+are generalised. A path that recurs on a good share of its sites' pages is the site's, whatever its length. For the others
+each path gets its *ratio*: characters, weighted by punctuation, per page of the site that holds the path. Content paths are
+new on every page (ratio near their own length); site paths recur (ratio near zero). Ratios are smoothed along the page (a short
+heading over a paragraph takes its paragraph's ratio) and thresholded, and such a line must stand among lines of the site. Both are
+fused with what the separators of menus and the glosses of word lists tell about short lines.
 
 Counts are taken over distinct URLs, so repeated crawls do not turn an article into a template.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -29,6 +31,10 @@ _PROSE = re.compile(r"[.!?…。][”»\"')]*$")
 _GLOSS = re.compile(r"^(.{1,80}?)\s([–—-])\s(.{1,80})$")
 
 
+#: Logarithm of 1 + ratio, smoothed over a line and its two neighbours, under which a recurring path is the site's.
+LOW = math.log(2)
+
+
 def host_of(url: str | None) -> str:
     m = _HOST.match(url or "")
     return m.group(1).lower() if m else ""
@@ -105,7 +111,8 @@ def page_lines(df: DataFrame, key: str, url: str, content: str) -> DataFrame:
 def site_lines(df: DataFrame, key: str, url: str, content: str, share: float = 0.06) -> DataFrame:
     """(``key``, ``line_no``): the lines of web pages that belong to the site.
 
-    ``share``: a path on at least this share of the pages of the sites that use it (and on three pages if it is prose, on two else) is the site's.
+    ``share``: a path on at least this share of the pages of the sites that use it (and on three pages if it is prose, on two else) is the site's;
+    a path on fewer is judged by its smoothed ratio.
     Lines are split at ``\\n`` and numbered from 0. Null and empty contents and scans give none; a null URL is a site of its
     own; repeated rows of a key give each line once.
     """
@@ -129,15 +136,23 @@ def site_lines(df: DataFrame, key: str, url: str, content: str, share: float = 0
     least = F.when(F.col("prose"), 3).otherwise(2)
     recurs = ((F.col("pages") >= least) & (here >= share)) | ((F.col("all_pages") >= least) & (anywhere >= share))
     heading = (F.col("n_gloss") > F.col("n_menu")) & (F.col("n_gloss") >= 2)
-    known = known.withColumn("ratio", F.col("mass") / F.col("pages")).withColumn("fixed", recurs & ~heading)
+    known = known.withColumn("ratio", F.col("mass") / F.col("pages")).withColumn("fixed", recurs & ~heading).withColumn("again", (F.col("pages") >= least) & ~heading)
 
     # menus: every piece must be known from other menus or be a fixed path itself
-    x = lines.join(known.select("host", "path", "ratio", "fixed", "n_menu", "n_gloss"), ["host", "path"])
+    x = lines.join(known.select("host", "path", "ratio", "fixed", "again", "n_menu", "n_gloss"), ["host", "path"])
     piece = lines.where("form in ('menu', 'crumbs')").select("doc", "line_no", F.explode("pieces").alias("path")).join(menu, "path")
     menus = piece.groupBy("doc", "line_no").agg(F.avg((F.col("n_menu") >= 2).cast("int")).alias("menu_share"))
     x = x.join(menus, ["doc", "line_no"], "left")
 
     w = Window.partitionBy("doc").orderBy("line_no")
+    # recurring paths under the share: a low ratio, smoothed over the neighbours, and site lines in the same block or on both sides
+    x = x.withColumns({"low": F.log1p("ratio"), "block": F.sum(F.col("gap").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    side = lambda c, none: (F.coalesce(F.lag(c).over(w), none), F.coalesce(F.lead(c).over(w), none))
+    before, after = side("low", F.lit(0.0))
+    above, below = side("fixed", F.lit(True))
+    among = F.max("fixed").over(Window.partitionBy("doc", "block")) | (above & below)
+    x = x.withColumn("rare", F.col("again") & ((before + 2 * F.col("low") + after) / 4 < LOW) & among)
+    x = x.withColumn("fixed", F.col("fixed") | F.col("rare")).drop("rare")
     menu_line = F.col("form").isin("menu", "crumbs") & (F.coalesce("menu_share", F.lit(0)) >= 0.5)
     item_of_menu = (F.col("form") == "short") & (F.col("n_menu") >= 2) & (F.col("n_menu") > F.col("n_gloss"))
     name = F.col("path") == "@"

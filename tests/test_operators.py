@@ -172,3 +172,25 @@ def test_fuzzy_join_against_all_pairs(spark):
     for d in (1, 2):
         got = {tuple(r) for r in retrieval.fuzzy_join(df, df, "w", d).select("w_l", "w_r").collect()}
         assert got == {(a, b) for a in words for b in words if lev(a, b) <= d}
+
+
+def test_fuzzy_queries_take_every_word(spark, tmp_path):
+    """Short, long, accented and foreign words and headwords, against all pairs."""
+    from verbarium.queries import search
+
+    texts = {"en": "an ax fisherwoman fisherwomen café cafe", "ru": "лодка лодки", "fr": "pêcheur pêcheurs"}
+    heads = ["ka", "kä", "tse mi lo karu", "tse mi lo kar", "слово", "слова", None]
+    rows = [(h, [(k, t) for k, t in texts.items()]) for h in heads]
+    spark.createDataFrame(rows, "headword_native string, definitions array<struct<language string, text string>>").write.parquet(str(tmp_path / "vocabulary.parquet"))
+
+    def lev(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            prev, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+        return row[-1]
+
+    for name, words in (("fuzzy_definition_join", " ".join(texts.values()).split()), ("fuzzy_headword_join", [h for h in heads if h])):
+        got = sorted(tuple(r) for r in search.QUERIES[name](spark, str(tmp_path)).select("a", "b").collect())
+        assert got and got == sorted((a, b) for a in words for b in words if a < b and lev(a, b) <= 2)

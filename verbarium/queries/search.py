@@ -192,6 +192,22 @@ def fuzzy_word_join(spark: SparkSession, d: str) -> DataFrame:
     return R.fuzzy_join(w, w, "w", 2).where("w_l < w_r").select(F.col("w_l").alias("a"), F.col("w_r").alias("b"))
 
 
+def _close(words: DataFrame) -> DataFrame:
+    """Different words ``w`` up to two edits apart, each pair once."""
+    return R.fuzzy_join(words, words, "w", 2).where("w_l < w_r").select(F.col("w_l").alias("a"), F.col("w_r").alias("b"))
+
+
+def fuzzy_definition_join(spark: SparkSession, d: str) -> DataFrame:
+    """Different words of all definitions up to two edits apart, of any length, script and language."""
+    v = table(spark, d, "vocabulary").select(F.explode("definitions").alias("d"))
+    return _close(v.select(F.explode(X.tokens(F.col("d.text"))).alias("w")))
+
+
+def fuzzy_headword_join(spark: SparkSession, d: str) -> DataFrame:
+    """Different headwords up to two edits apart, whole and as they stand."""
+    return _close(table(spark, d, "vocabulary").select(F.col("headword_native").alias("w")))
+
+
 def substring_search(spark: SparkSession, d: str) -> DataFrame:
     """Case-insensitive containment over the joined fields of an entry."""
     text = F.lower(F.concat_ws(" ", "headword_native", "headword_romanized", "semantic_cluster", F.array_join(F.transform("definitions", lambda x: x["text"]), " ")))
@@ -200,7 +216,7 @@ def substring_search(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     bm25_documents, definition_bm25, multi_field_best, prefix_match, romanize, fuzzy_ascii, edge_ngrams, ipa_key, knn_cosine, similar_entries, rrf_hybrid,
-    entry_search, hybrid_search, cluster_fill, significant_terms, significant_related, grammar_search, language_search, quick_search, fuzzy_word_join, substring_search,
+    entry_search, hybrid_search, cluster_fill, significant_terms, significant_related, grammar_search, language_search, quick_search, fuzzy_word_join, fuzzy_definition_join, fuzzy_headword_join, substring_search,
 )}
 
 

@@ -64,3 +64,15 @@ def test_copies_do_not_hide_garbling(spark):
     assert sorted(r[0] for r in E.find_garbled(df, "doc_id", "text").collect()) == bad
     got = {r["doc_id"]: r["restored"] for r in E.restore(df, "doc_id", "text").collect()}
     assert sorted(got) == bad and got[100] == clean and got[400] == "나란히 적혀 0"
+
+
+def test_short_stretches(spark):
+    """A document whose only garbled stretch is one short word; right words and abbreviations of the same letters stay."""
+    clean = ["По дороге", "il est nommé là", "une année", "été à la Île", "слово по воде"] * 3
+    bad = {100: "text " + "По".encode("cp1251").decode("cp1252"), 101: "il est " + "nommé".encode("cp1252").decode("mac_roman"), 102: "une ann" + "é".encode("cp1252").decode("cp1251") + "e"}
+    good = {200: "ПО РП", 201: "NOMMÉ", 202: "5€ été", 203: "Île À la", 204: "по"}
+    rows = [*enumerate(clean), *bad.items(), *good.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r[0] for r in E.find_garbled(df, "doc_id", "text").collect()) == sorted(bad)
+    got = {r["doc_id"]: r["restored"] for r in E.restore(df, "doc_id", "text").collect()}
+    assert got == {100: "text По", 101: "il est nommé", 102: "une année"}

@@ -8,7 +8,7 @@ Words are white-space tokens without ASCII punctuation at their ends; only words
    *right encoding -> wrong encoding* and the double chains. A form with a character that the corpus never holds cannot
    match any token and is left out at once: exact, and it keeps the table small.
 3. The forms are hash-joined with the distinct words. Any text can be read back through a one-byte chain, so such a form
-   must hold three non-ASCII characters and either stand in fewer texts than its original or be confirmed by its document:
+   must either hold three non-ASCII characters and stand in fewer texts than its original or be confirmed by its document:
    over the document's words that the same chain explains, shapes no writing has (see ``oddity``) are weighed against the
    shapes of the originals, however often the garbled words occur in the corpus. A document with a word of good shape whose
    "original" has an impossible one contradicts the chain: counts alone then show nothing.
@@ -37,7 +37,7 @@ MULTI = "utf-8"
 WRONG = ("latin-1", "cp1252", "cp1251", "cp437", "cp866", "mac_roman", "koi8-r", "cp1250", "cp850")
 RIGHT_BYTE = ("cp1251", "koi8-r", "cp866", "cp949", "latin-1", "cp1252", "mac_roman", "iso8859-5")
 DOUBLE = ("latin-1", "cp1252", "cp1251", "mac_roman")
-#: Non-ASCII characters that a form of a one-byte chain must hold.
+#: Non-ASCII characters that a form of a one-byte chain must hold to be believed by counts alone.
 DENSE = 3
 TYPOGRAPHIC = set("’‘“”„«»‹›—–…¿¡·ʼ№°§")
 
@@ -73,8 +73,7 @@ def unread(text: str, wrong: str) -> bytes | None:
 
 
 def forms(word: str) -> Iterator[tuple[str, str]]:
-    """(garbled form, chain) under all chains; a form that equals the word is none, nor is a form of a one-byte chain with
-    fewer than ``DENSE`` non-ASCII characters, which would prove nothing (see above)."""
+    """(garbled form, chain) under all chains; a form that equals the word is none."""
     seen = {word}
     raw = word.encode(MULTI, "surrogatepass")
     for e in WRONG:
@@ -93,8 +92,6 @@ def forms(word: str) -> Iterator[tuple[str, str]]:
             raw = word.encode(right)
         except UnicodeEncodeError:
             continue
-        if sum(b > 127 for b in raw) < DENSE:
-            continue
         for e in WRONG:
             if e != right and (one := misread(raw, e)) not in seen:
                 seen.add(one)
@@ -244,12 +241,11 @@ def garbled_words(docs: DataFrame, key: str, text: str) -> DataFrame:
     rarer = F.struct("texts", -F.col("gain"), "n") < F.struct(F.col("texts_original").alias("texts"), F.lit(0), F.col("n_original").alias("n"))
     hits = (
         made.join(counts, made["form"] == counts["word"])
-        .where(~one_byte | dense)
         .withColumn("gain", F.when(one_byte, gain("word", "original")).otherwise(0))
-        .withColumns({"rarer": ~one_byte | rarer, "rank": F.struct("n_original", "original")})
+        .withColumns({"sure": ~one_byte | dense & rarer, "rarer": ~one_byte | rarer, "rank": F.struct("n_original", "original")})
         .groupBy("word", "chain")
-        .agg(F.max_by(F.struct("original", "rarer", "gain", "n_original"), F.struct("rarer", "rank")).alias("best"))
-        .select("word", "best.original", "chain", F.col("best.rarer").alias("sure"), "best.gain", "best.rarer", F.col("best.n_original").alias("rank"))
+        .agg(F.max_by(F.struct("original", "sure", "rarer", "gain", "n_original"), F.struct("sure", "gain", "rarer", "rank")).alias("best"))
+        .select("word", "best.original", "chain", "best.sure", "best.gain", "best.rarer", F.col("best.n_original").alias("rank"))
     )
     rest = counts.select("word").mapInPandas(pieces, "word string, original string, chain string")
     rest = rest.select("*", F.lit(True).alias("sure"), F.lit(0).alias("gain"), F.lit(True).alias("rarer"), F.lit(-1).cast("long").alias("rank"))

@@ -194,3 +194,13 @@ def test_fuzzy_queries_take_every_word(spark, tmp_path):
     for name, words in (("fuzzy_definition_join", " ".join(texts.values()).split()), ("fuzzy_headword_join", [h for h in heads if h])):
         got = sorted(tuple(r) for r in search.QUERIES[name](spark, str(tmp_path)).select("a", "b").collect())
         assert got and got == sorted((a, b) for a in words for b in words if a < b and lev(a, b) <= 2)
+
+
+def test_chunk_contents_takes_whole_texts(spark, tmp_path):
+    from verbarium.queries import text
+
+    content = "\n".join(f"line {i}" for i in range(30_000))
+    spark.createDataFrame([(1, content), (2, "short"), (3, None)], "crawl_id long, content string").write.parquet(str(tmp_path / "crawl_results.parquet"))
+    rows = text.QUERIES["chunk_contents"](spark, str(tmp_path)).collect()
+    n = [r["n"] for r in rows if r["crawl_id"] == 1]
+    assert len(content) > 200_000 and sum(n) + len(n) - 1 == len(content) and {r["crawl_id"] for r in rows} == {1, 2}

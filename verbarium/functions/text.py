@@ -105,20 +105,22 @@ def clean_page(c: Column) -> Column:
 def chunk_text(text: str, size: int) -> list[str]:
     """Pieces of at most ``size`` characters: broken at the last blank line, else the last line end, else hard; a break in the
     first half of a piece is not used."""
-    out = []
-    while len(text) > size:
-        at = text.rfind("\n\n", 0, size + 2)
+    out, start = [], 0
+    while len(text) - start > size:
+        at = text.rfind("\n\n", start, start + size + 2) - start
         if at < size / 2:
-            at = text.rfind("\n", 0, size + 1)
+            at = text.rfind("\n", start, start + size + 1) - start
         if at < size / 2:
             at = size
-        out.append(text[:at])
-        text = text[at:].lstrip()
-    return [*out, text] if text or not out else out
+        out.append(text[start : start + at])
+        start += at
+        while start < len(text) and text[start].isspace():
+            start += 1
+    return [*out, text[start:]] if start < len(text) or not out else out
 
 
-def chunks(c: Column, size: int = 50_000, most: int = 200_000) -> Column:
-    """Array of pieces of the text cut to ``most`` characters; null for null."""
+def chunks(c: Column, size: int = 50_000, most: int | None = None) -> Column:
+    """Array of pieces of the text, cut to ``most`` characters if that is given; null for null."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(texts: pd.Series) -> pd.Series:

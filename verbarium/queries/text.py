@@ -104,8 +104,8 @@ def clean_text(s, d):
 
 @query()
 def chunk_contents(s, d):
-    """Contents in pieces of at most 1,000 characters (the limit is the operator's parameter)."""
-    x = _crawls(s, d).where("content is not null").select("crawl_id", F.posexplode(X.chunks(F.col("content"), 1000, 200_000)).alias("chunk", "piece"))
+    """Whole contents in pieces of at most 1,000 characters (the limit is the operator's parameter)."""
+    x = _crawls(s, d).where("content is not null").select("crawl_id", F.posexplode(X.chunks(F.col("content"), 1000)).alias("chunk", "piece"))
     return x.select("crawl_id", "chunk", F.length("piece").alias("n"), F.md5("piece").alias("md5"))
 
 

@@ -73,7 +73,7 @@ def _trust():
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three fields are bundles of their own and bound by no dependency, so the root bound is each optimum."""
+    """Three bundles of one field each. TESTDATA.md binds them by no dependency, so a search level has one open node a group."""
     v = table(spark, sf_dir, "vocabulary").select("id", "rec_id", "headword_romanized", REFS, "created_at")
     longest = F.array_max(F.transform(F.filter(REFS, lambda x: survivors.usable(x["definition"])), lambda x: F.length(x["definition"])))
     head = F.col("headword_romanized")
@@ -102,7 +102,7 @@ def p1_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     fds = [survivors.Dependency(("native", native), ("romanized", roman)), survivors.Dependency(("native", native), ("pos", pos))]
     out = survivors.choose(v, "id", "rec_id", bundles, _trust(), F.col("created_at"), fds, least=1)
-    return out.selectExpr("id", "bundle", "row as rec_id", "value")
+    return out.selectExpr("id", "bundle", "row as rec_id", "value", "consistent")
 
 
 P1_SQL = r"""

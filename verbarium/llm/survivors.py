@@ -5,22 +5,24 @@ the vector (trust, recency, completeness, -row key), compared in that order; an
 the sum of its vectors. Functional dependencies ``X -> Y`` across bundles bind the assignment: the chosen ``x`` and ``y``
 must occur together in some row of the group.
 
-Branch and bound runs in three steps, the first two as plain aggregations, so no group ever meets in one task:
-
-1. *Root bound*: the best bid of every bundle on its own (one ``max`` with partial aggregation). Where it satisfies the
-   dependencies it is optimal, and nothing is left to search. Without dependencies this holds for every group.
-2. *Incumbent and pruning*: the best single row that bids for every bundle satisfies all dependencies. A bid survives only
-   if the root bound with this bid in place of its bundle's best reaches the incumbent; bids of equal constrained values
-   are reduced to the best one.
-3. *Search*: a depth-first search over the surviving bids of a group, best first, cut by the sum of the remaining maxima.
+Branch and bound over all groups at once, every step a join or a partial aggregation, so no group ever meets in one task:
+
+1. *Dominance*: of bids for one bundle with equal constrained values only the best can be chosen; the others go.
+2. *Bounds*: the root bound of a group is the sum of its bundles' best bids; the incumbent is the best single row that bids
+   for every bundle of the group (it satisfies all dependencies). A bid whose root bound, with it in place of its bundle's
+   best, stays under the incumbent is pruned.
+3. *Search*: one level per bundle, in an order that follows the dependencies. A node is a partial assignment; its children are
+   found by equi-joins through the pairs of values that occur together, never by trying all bids. Children whose value plus the best
+   of the bundles to come stays under the incumbent are cut; of nodes that agree in all values that a later dependency
+   looks at only the best stays open.
+
+Where dependencies form a forest, a level holds at most one node for each value of one field; without dependencies one node a group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ from verbarium.plans.runtime import stored
 #: What is written where there is no value (compared in lower case, without spaces at the ends).
 STAND_INS = ("n/a", "null", "none", "unknown", "todo", "tbd", "missing", "[missing]", "undefined", "[none]", "(none)", "[null]", "[unknown]", "nan")
 NO_TRUST = -1_000_000_000
+#: Lowest time, before any timestamp; sums over 32 bundles stay in 64 bits.
+NO_TIME = -(2**58)
 
 
 def usable(c: Column) -> Column:
@@ -55,139 +59,134 @@ class Dependency:
     right: tuple[str, Column]
 
 
-def _bids(df: DataFrame, group: str, row: str, bundles: list[Bundle], trust: Column, recency: Column, fds: list[Dependency]) -> DataFrame:
-    """One row per record and bundle it bids for: ``g``, ``b``, ``bid`` (the vector), ``x`` (constrained values), ``value``."""
-    vec = [
-        F.coalesce(F.round(trust * F.lit(1e6)).cast("long"), F.lit(NO_TRUST)).alias("trust"),
-        F.coalesce(F.unix_micros(recency), F.lit(-(2**61))).alias("recency"),
-    ]
-    parts = []
-    for i, b in enumerate(bundles):
-        x = [F.when(F.lit(d.left[0] == b.name), d.left[1]).when(F.lit(d.right[0] == b.name), d.right[1]).cast("string") for d in fds]
-        bid = F.struct(*vec, F.coalesce(b.completeness, F.lit(0)).cast("long").alias("full"), (-F.col(row)).alias("row"))
-        parts.append(F.when(b.usable, F.struct(F.lit(i).alias("b"), bid.alias("bid"), (F.array(*x) if x else F.array().cast("array<string>")).alias("x"), b.value.alias("value"))))
-    return df.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.inline(F.array_compact(F.array(*parts))))
-
+VECTOR = ("trust", "recency", "full", "row")
+ZERO = "named_struct('trust', 0L, 'recency', 0L, 'full', 0L, 'row', 0L)"
 
-def _fd_pairs(df: DataFrame, group: str, fds: list[Dependency], bundles: list[Bundle]) -> DataFrame:
-    use = {b.name: b.usable for b in bundles}
-    each = [
-        F.when(use[d.left[0]] & use[d.right[0]], F.struct(F.lit(i).alias("d"), d.left[1].cast("string").alias("l"), d.right[1].cast("string").alias("r")))
-        for i, d in enumerate(fds)
-    ]
-    return df.select(F.col(group).alias("g"), F.inline(F.array_compact(F.array(*each)))).where("l is not null and r is not null").distinct()
 
+def _plus(*vectors: Column) -> Column:
+    """The sum of bid vectors."""
+    total = lambda c: sum((v[c] for v in vectors[1:]), vectors[0][c])
+    return F.struct(*(total(c).alias(c) for c in VECTOR))
 
-def choose(df: DataFrame, group: str, row: str, bundles: list[Bundle], trust: Column, recency: Column, fds: list[Dependency] | None = None, least: int = 2) -> DataFrame:
-    """(``group``, ``bundle``, ``row``, ``value``): for every group of at least ``least`` rows the row that supplies each
-    bundle, and what it supplies. A bundle without a usable value in the group gives no row.
 
-    Null groups are left out; a null trust or time is lowest; full ties go to the smallest row key; equal rows are one.
-    ``value`` of all bundles must be of one type. A group that no assignment satisfies keeps its root bound.
-    """
-    names = F.array(*(F.lit(b.name) for b in bundles))
-    fds = fds or []
-    bids = _bids(df, group, row, bundles, trust, recency, fds)
-    many = df.where(F.col(group).isNotNull()).select(F.col(group).alias("g")) if least > 1 else None
-    best = F.max(F.struct("bid", "x", "value")).alias("top")
-    if not fds:
-        # root bound only: one shuffle of one row per group, with the bids of all bundles beside the row count
-        empty = F.lit(None)
-        wide = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("g"))
-        vec = [F.coalesce(F.round(trust * F.lit(1e6)).cast("long"), F.lit(NO_TRUST)), F.coalesce(F.unix_micros(recency), F.lit(-(2**61)))]
-        tops = [F.max(F.when(b.usable, F.struct(*vec, F.coalesce(b.completeness, F.lit(0)).cast("long").alias("full"), (-F.col(row)).alias("row"), b.value.alias("value"))).otherwise(empty)).alias(f"t{i}") for i, b in enumerate(bundles)]
-        out = wide.agg(F.count("*").alias("n"), *tops).where(F.col("n") >= least)
-        each = F.array_compact(F.array(*(F.when(F.col(f"t{i}").isNotNull(), F.struct(F.lit(b.name).alias("bundle"), (-F.col(f"t{i}.row")).alias("row"), F.col(f"t{i}.value").alias("value"))) for i, b in enumerate(bundles))))
-        return out.select(F.col("g").alias(group), F.inline(each))
-
-    root = bids.groupBy("g", "b").agg(best)
-    if many is not None:
-        root = root.join(many.groupBy("g").count().where(F.col("count") >= least).select("g"), "g", "left_semi")
-    root = stored(root, "p1-root")
-    pairs = stored(_fd_pairs(df, group, fds, bundles), "p1-pairs")
-
-    # a dependency is broken where both sides are chosen and never occur together
-    side = root.select("g", "b", F.posexplode("top.x").alias("d", "x")).where("x is not null")
-    index = {b.name: i for i, b in enumerate(bundles)}
-    sides = F.array(*(F.struct(F.lit(i).alias("d"), F.lit(index[d.left[0]]).alias("lb"), F.lit(index[d.right[0]]).alias("rb")) for i, d in enumerate(fds)))
-    names_of = root.select("g").distinct().select("g", F.inline(sides))
-    left = side.select("g", "d", F.col("b").alias("lb"), F.col("x").alias("l"))
-    right = side.select("g", "d", F.col("b").alias("rb"), F.col("x").alias("r"))
-    chosen = names_of.join(left, ["g", "d", "lb"]).join(right, ["g", "d", "rb"])
-    broken = stored(chosen.join(pairs, ["g", "d", "l", "r"], "left_anti").select("g").distinct(), "p1-broken")
-
-    # incumbent: the best row that bids for all bundles its group has
-    open_bids = stored(bids.join(broken, "g", "left_semi"), "p1-open")
-    total = root.groupBy("g").agg(F.count("*").alias("k"), *(F.sum(f"top.bid.{c}").alias(f"u_{c}") for c in ("trust", "recency", "full", "row")))
-    per_row = open_bids.groupBy("g", F.col("bid.row").alias("r")).agg(F.count("*").alias("k"), *(F.sum(f"bid.{c}").alias(c) for c in ("trust", "recency", "full", "row")))
-    low = per_row.join(total.select("g", "k"), ["g", "k"]).groupBy("g").agg(F.max(F.struct("trust", "recency", "full", "row")).alias("low"))
-    reach = F.struct(*((F.col(f"u_{c}") - F.col(f"top.bid.{c}") + F.col(f"bid.{c}")).alias(c) for c in ("trust", "recency", "full", "row")))
-    alive = (
-        open_bids.join(root, ["g", "b"]).join(total, "g").join(low, "g", "left")
-        .where(F.col("low").isNull() | (reach >= F.col("low")))
-        .groupBy("g", "b", open_bids["x"]).agg(F.max(F.struct(open_bids["bid"], open_bids["value"])).alias("top"))
+def _bid(row: str, b: Bundle, trust: Column, recency: Column) -> Column:
+    return F.struct(
+        F.coalesce(F.round(trust * F.lit(1e6)).cast("long"), F.lit(NO_TRUST)).alias("trust"), F.coalesce(F.unix_micros(recency), F.lit(NO_TIME)).alias("recency"),
+        F.coalesce(b.completeness, F.lit(0)).cast("long").alias("full"), (-F.col(row)).cast("long").alias("row"),
     )
 
-    search_in = alive.select("g", F.struct("b", "top.bid", "x").alias("bid")).groupBy("g").agg(F.collect_list("bid").alias("bids"))
-    facts = pairs.join(broken, "g", "left_semi").groupBy("g").agg(F.collect_list(F.struct("d", "l", "r")).alias("pairs"))
-    ends = [(index[d.left[0]], index[d.right[0]]) for d in fds]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            out = []
-            for g, bs, ps in zip(p["g"], p["bids"], p["pairs"]):
-                rows = search([(b["b"], (b["bid"]["trust"], b["bid"]["recency"], b["bid"]["full"], b["bid"]["row"]), tuple(b["x"])) for b in bs], {(q["d"], q["l"], q["r"]) for q in (ps if ps is not None else [])}, ends)
-                out += [(g, b, -bid[3]) for b, bid in rows]
-            yield pd.DataFrame(out, columns=["g", "b", "row"])
+def _end(c: Column) -> Column:
+    """A constrained value; null is a value of its own."""
+    return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
 
-    gtype = df.schema[group].dataType.simpleString()
-    found = search_in.join(facts, "g", "left").mapInPandas(run, f"g {gtype}, b int, row long")
-    solved = found.join(alive.select("g", "b", (-F.col("top.bid.row")).alias("row"), "top.value"), ["g", "b", "row"])
-    kept = root.join(solved.select("g").distinct(), "g", "left_anti").select("g", "b", (-F.col("top.bid.row")).alias("row"), "top.value")
-    both = kept.unionByName(solved.select("g", "b", "row", "value"))
-    return both.select(F.col("g").alias(group), F.element_at(names, F.col("b") + 1).alias("bundle"), "row", "value")
 
+def plan_order(n: int, ends: list[tuple[int, int]]) -> list[int]:
+    """Bundles in the order of the levels: each part of the dependency graph is finished, breadth first, before the next begins."""
+    near = {i: [] for i in range(n)}
+    for a, b in ends:
+        near[a].append(b)
+        near[b].append(a)
+    order: list[int] = []
+    for start in sorted(range(n), key=lambda i: -len(near[i])):
+        queue = [start]
+        while queue:
+            i = queue.pop(0)
+            if i not in order:
+                order.append(i)
+                queue += near[i]
+    return order
 
-def search(bids: list[tuple], pairs: set[tuple], ends: list[tuple[int, int]]) -> list[tuple[int, tuple]]:
-    """The assignment of greatest total, [(bundle, vector)], or [] if none satisfies the dependencies.
 
-    ``bids``: (bundle, vector, constrained values); ``ends``: bundles (left, right) of each dependency.
+def choose(df: DataFrame, group: str, row: str, bundles: list[Bundle], trust: Column, recency: Column, fds: list[Dependency] | None = None, least: int = 2) -> DataFrame:
+    """(``group``, ``bundle``, ``row``, ``value``, ``consistent``): for every group of at least ``least`` rows the row that supplies
+    each bundle, and what it supplies. A bundle without a usable value in the group gives no row.
+
+    Null groups are left out; a null trust or time is lowest; full ties go to the smallest row key; equal rows are one; a null
+    end of a dependency is a value of its own. ``value`` of all bundles must be of one type. A group that no assignment
+    satisfies keeps its root bound, every bundle's best bid, with ``consistent`` false.
     """
-    by: dict[int, list] = {}
-    for b, v, x in bids:
-        by.setdefault(b, []).append((v, x))
-    order = sorted(by, key=lambda b: len(by[b]))
-    for b in order:
-        by[b].sort(key=lambda c: c[0], reverse=True)
-    zero = (0, 0, 0, 0)
-    add = lambda p, q: tuple(i + j for i, j in zip(p, q))
-    rest = [zero] * (len(order) + 1)
-    for i in range(len(order) - 1, -1, -1):
-        rest[i] = add(by[order[i]][0][0], rest[i + 1])
-    best: tuple | None = None
-    picked: list = []
-
-    def fits(chosen: dict) -> bool:
-        for d, (lb, rb) in enumerate(ends):
-            if lb in chosen and rb in chosen:
-                x, y = chosen[lb][1][d], chosen[rb][1][d]
-                if x is not None and y is not None and (d, x, y) not in pairs:
-                    return False
-        return True
-
-    def go(i: int, value: tuple, chosen: dict) -> None:
-        nonlocal best, picked
-        if i == len(order):
-            if best is None or value > best:
-                best, picked = value, [(b, chosen[b][0]) for b in order]
-            return
-        for c in by[order[i]]:
-            if best is not None and add(add(value, c[0]), rest[i + 1]) <= best:
-                return
-            chosen[order[i]] = c
-            if fits(chosen):
-                go(i + 1, add(value, c[0]), chosen)
-            del chosen[order[i]]
-
-    go(0, zero, {})
-    return picked
+    fds = fds or []
+    index = {b.name: i for i, b in enumerate(bundles)}
+    ends = [(index[d.left[0]], index[d.right[0]]) for d in fds]
+    order = plan_order(len(bundles), ends)
+    rows = df.where(F.col(group).isNotNull())
+
+    # every row's offer for each bundle it bids for, worked out once
+    offers = []
+    for i, b in enumerate(bundles):
+        x = [_end(d.left[1]) if ends[k][0] == i else _end(d.right[1]) if ends[k][1] == i else F.lit(None).cast("string") for k, d in enumerate(fds)]
+        x = F.array(*x) if x else F.array().cast("array<string>")
+        offers.append(F.when(b.usable, F.struct(F.lit(i).alias("b"), x.alias("x"), F.struct(_bid(row, b, F.col("__trust"), F.col("__recency")).alias("bid"), b.value.alias("value")).alias("top"))).alias(f"o{i}"))
+    rows = stored(rows.withColumns({"__trust": trust, "__recency": recency}).select(F.col(group).alias("g"), *offers), "p1-offers")
+    each = [F.col(f"o{i}") for i in range(len(bundles))]
+
+    # dominance: the best bid for each bundle and its constrained values
+    bids = rows.select("g", F.inline(F.array_compact(F.array(*each))))
+    bids = stored(bids.groupBy("g", "b", "x").agg(F.max("top").alias("top")), "p1-bids")
+
+    # bounds: the best of each bundle, and the best row among those that bid for most bundles
+    worth = _plus(*(F.coalesce(o["top"]["bid"], F.expr(ZERO)) for o in each))
+    held = sum((o.isNotNull().cast("int") for o in each), F.lit(0))
+    per = rows.groupBy("g").agg(F.count("*").alias("n"), F.max(F.struct(held.alias("held"), worth.alias("worth"))).alias("row"))
+    best = bids.groupBy("g").agg(*(F.max(F.when(F.col("b") == i, F.col("top"))).alias(f"t{i}") for i in range(len(bundles))))
+    mask = sum((F.when(F.col(f"t{i}").isNotNull(), 1 << i).otherwise(0) for i in range(len(bundles))), F.lit(0))
+    tops = F.array(*(F.coalesce(F.col(f"t{i}.bid"), F.expr(ZERO)) for i in range(len(bundles))))
+    root = per.where(F.col("n") >= least).join(best, "g").select("g", mask.alias("mask"), tops.alias("tops"), "row", *(f"t{i}" for i in range(len(bundles))))
+    low = F.when(F.col("row.held") == F.bit_count("mask"), F.col("row.worth"))
+    bound = _plus(*(F.coalesce(F.col(f"t{i}.bid"), F.expr(ZERO)) for i in range(len(bundles))))
+    root = stored(root.select("g", "mask", "tops", low.alias("low"), bound.alias("bound"), *(f"t{i}" for i in range(len(bundles)))), "p1-root")
+    lost = lambda t: F.struct(*((F.col("bound")[c] - t[c] + F.col("top.bid")[c]).alias(c) for c in VECTOR))
+    alive = bids.join(root.select("g", "tops", "low", "bound"), "g").where(F.col("low").isNull() | (lost(F.get("tops", F.col("b"))) >= F.col("low")))
+    alive = stored(alive.select("g", "b", "x", "top"), "p1-alive")
+
+    pairs = None
+    if fds:
+        seen = [F.when(each[a].isNotNull() & each[b].isNotNull(), F.struct(F.lit(k).alias("d"), each[a]["x"][k].alias("l"), each[b]["x"][k].alias("r"))) for k, (a, b) in enumerate(ends)]
+        pairs = stored(rows.select("g", F.inline(F.array_compact(F.array(*seen)))).distinct(), "p1-pairs")
+
+    # search: one level per bundle; ``x<k>`` is what the open dependency k asks for
+    pick = "struct<b:int,row:bigint,value:" + bids.schema["top"].dataType["value"].dataType.simpleString() + ">"
+    state = root.select("g", "mask", "tops", "low", F.expr(ZERO).alias("worth"), F.array().cast(f"array<{pick}>").alias("picks"))
+    asked: list[int] = []
+    for level, i in enumerate(order):
+        to_come = order[level + 1 :]
+        back = [k for k in asked if i in ends[k]]
+        own = [k for k, e in enumerate(ends) if i in e and k not in back]
+        offer = alive.where(F.col("b") == i).select("g", F.col("top.bid").alias("bid"), F.struct(F.lit(i).alias("b"), (-F.col("top.bid.row")).alias("row"), F.col("top.value").alias("value")).alias("pick"), *(F.col("x")[k].alias(f"y{k}") for k in back + own))
+        has = F.col("mask").bitwiseAND(F.lit(1 << i)) != 0
+        if back:
+            go = state.where(has)
+            k = back[0]
+            other = ends[k][0] if ends[k][1] == i else ends[k][1]
+            mine, theirs = ("l", "r") if ends[k][0] == i else ("r", "l")
+            link = pairs.where(F.col("d") == k).select("g", F.col(theirs).alias(f"x{k}"), F.col(mine).alias(f"y{k}"))
+            bound_by = F.col("mask").bitwiseAND(F.lit(1 << other)) != 0
+            met = go.where(bound_by).join(link, ["g", f"x{k}"]).join(offer, ["g", f"y{k}"])
+            free = go.where(~bound_by).join(offer, "g")
+            met = met.unionByName(free.select(*met.columns)).unionByName(state.where(~has), allowMissingColumns=True)
+        else:
+            met = state.join(offer, "g", "left")
+        for k in back[1:]:  # a cycle of dependencies: the pair must occur too
+            other = ends[k][0] if ends[k][1] == i else ends[k][1]
+            mine, theirs = ("l", "r") if ends[k][0] == i else ("r", "l")
+            seen = pairs.where(F.col("d") == k).select("g", F.col(theirs).alias(f"x{k}"), F.col(mine).alias(f"y{k}"), F.lit(True).alias("seen"))
+            met = met.join(seen, ["g", f"x{k}", f"y{k}"], "left").where(F.col("seen") | ~has | (F.col("mask").bitwiseAND(F.lit(1 << other)) == 0)).drop("seen")
+        asked = [k for k in asked if k not in back] + own
+        keep = ["g", "mask", "tops", "low"]
+        worth, picks = F.when(has, _plus(F.col("worth"), F.col("bid"))).otherwise(F.col("worth")), F.when(has, F.concat("picks", F.array("pick"))).otherwise(F.col("picks"))
+        met = met.select(*keep, worth.alias("worth"), picks.alias("picks"), *(F.col(f"y{k}" if k in own else f"x{k}").alias(f"x{k}") for k in asked))
+        rest = [F.get("tops", F.lit(j)) for j in to_come]
+        met = met.where(F.col("low").isNull() | (_plus(F.col("worth"), *rest) >= F.col("low")))
+        best = met.groupBy("g", *(f"x{k}" for k in asked)).agg(*(F.first(c).alias(c) for c in keep[1:]), F.max(F.struct("worth", "picks")).alias("n"))
+        state = best.select(*keep, F.col("n.worth").alias("worth"), F.col("n.picks").alias("picks"), *(f"x{k}" for k in asked))
+        if asked:  # read several times by the next level
+            state = stored(state, f"p1-level{level}")
+
+    names = F.array(*(F.lit(b.name) for b in bundles))
+    solved = state.select("g", F.inline("picks"), F.lit(True).alias("consistent"))
+    if fds:  # groups without any consistent assignment
+        each = F.array_compact(F.array(*(F.when(F.col(f"t{i}").isNotNull(), F.struct(F.lit(i).alias("b"), (-F.col(f"t{i}.bid.row")).alias("row"), F.col(f"t{i}.value").alias("value"))) for i in range(len(bundles)))))
+        broken = root.join(state.select("g"), "g", "left_anti").select("g", F.inline(each), F.lit(False).alias("consistent"))
+        solved = solved.unionByName(broken)
+    return solved.select(F.col("g").alias(group), F.element_at(names, F.col("b") + 1).alias("bundle"), "row", "value", "consistent")

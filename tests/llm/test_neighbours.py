@@ -40,6 +40,23 @@ def test_recall_and_order(spark, rows):
         assert got[310] == want[310]  # copies: ties to the smaller key
 
 
+def test_levels_of_pivots(spark, rows):
+    want = brute(rows, 5)
+    got = {}
+    for r in N.nearest(frame(spark, rows), "rec_id", "embedding", 5, dim=8, per_pivot=10, fan=4).collect():  # three levels: 4, 16, 31 pivots
+        got.setdefault(r["rec_id"], []).append(r["nn"])
+    assert set(got) == set(want) and all(len(v) == 5 for v in got.values())
+    assert sum(len(set(got[k]) & set(want[k])) for k in want) / (5 * len(want)) >= 0.9
+
+
+def test_only_candidates_are_compared_and_rows_are_complete(spark, rows):
+    want = brute(rows, 5)
+    few = N.nearest(frame(spark, rows), "rec_id", "embedding", 5, dim=8, per_pivot=16, candidates=6, prefix=6).collect()
+    assert sum(r["nn"] in want[r["rec_id"]] for r in few) < 0.95 * len(few)  # the cut by footrule is felt
+    lone = N.nearest(frame(spark, rows), "rec_id", "embedding", 5, dim=8, per_pivot=2, posts=1, prefix=1).groupBy("rec_id").count().collect()
+    assert {r["rec_id"]: r["count"] for r in lone} == dict.fromkeys(want, 5)
+
+
 def test_small_and_empty(spark):
     f = frame(spark, [(1, [1.0] + [0.0] * 7), (2, [1.0] * 8)])
     assert {(r["rec_id"], r["nn"]) for r in N.nearest(f, "rec_id", "embedding", 5, dim=8).collect()} == {(1, 2), (2, 1)}
@@ -55,3 +72,14 @@ def test_footrule():
         return sum(abs(place(x, p) - place(y, p)) for p in {*x, *y})
 
     assert [20 - 2 * g for g in got] == [rule(a[0], y) for y in b]
+
+
+def test_footrule_of_long_prefixes():
+    r = np.random.default_rng(1)
+    for length in (15, 16, 20, 300):
+        a, b = (np.array([r.permutation(2 * length)[:length] for _ in range(4)]) for _ in "ab")
+        got = N.footrule_agreement(np.vstack([a, b[:1]]), b)
+        place = lambda z, p: int(np.flatnonzero(z == p)[0]) if p in z else length  # noqa: B023, E731
+        for i, x in enumerate([*a, b[0]]):
+            for j, y in enumerate(b):
+                assert length * (length + 1) - 2 * int(got[i, j]) == sum(abs(place(x, p) - place(y, p)) for p in {*x, *y})

@@ -5,17 +5,29 @@ from verbarium.llm import encoding as E
 CLEAN = ["Dâ€™abord le café déjà vu à l’été", "слово значит зимняя шуба", "이름이 나란히 적혀 있다", "zónbas tènlisʼā“x”"]
 
 
-def test_forms_reverse():
-    alpha = frozenset("éàā“”ʼслово")
-    for w in ("é", "ā", "слово", "“"):
-        utf = [f for f, c in E.forms(w) if c.startswith("utf-8")]
-        assert utf and all(E.run_back(f, alpha)[0] == w for f in utf)
-    assert E.run_back("ÇÃ", frozenset("ÇÃ")) is None
+def test_forms_and_pieces():
+    pieces = E.Pieces(frozenset("éàā“”ʼслово한"))
+    for w in ("é", "ā", "слово", "“", "한"):
+        utf = [(f, c) for f, c in E.forms(w) if c.startswith("utf-8") and c.split(">")[1] in E.SINGLE]
+        assert utf and all(pieces.cover(f)[0] == w for f, _ in utf)
+    assert E.Pieces(frozenset("ÇÃ")).cover("ÇÃ") is None
+
+
+def test_sieve_keeps_every_form_of_the_corpus():
+    words = ["café", "слово", "나란히", "naïve", "über", "日本語"]
+    for w in words:
+        everything = dict(E.Table().forms(w))
+        for f, k in everything.items():
+            assert f == E.garble(w, E.CHAINS[k])
+            text = f"{E.EDGE}{f}{E.EDGE}"
+            own = E.Table({E.pair_bucket(text[i : i + 2]) for i in range(len(text) - 1)}, frozenset(f) | frozenset(w))
+            assert f in dict(own.forms(w))
+    assert {"cp949", "gbk", "cp932", "big5", "euc_jp"} <= {e for c in E.CHAINS for e in c}
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    base = ["le café déjà là", "слово значит шуба", "나란히 적혀 있다 이름이", "une fête légère à côté"] * 3
+    base = ["le café déjà là", "слово значит шуба зимний", "나란히 적혀 있다 이름이", "une fête légère à côté"] * 3
     rows = list(enumerate(base))
     bad = {
         100: "le café".encode().decode("latin-1"),
@@ -24,6 +36,8 @@ def docs(spark):
         103: "x " + "légère".encode().decode("cp1252").encode().decode("cp1252"),
         104: "lost � here",
         105: "zenfôlé bôn".encode("latin-1").decode("cp1251"),
+        107: "слово " + "зимний".encode("cp1251").decode("cp949", "replace"),
+        108: "слово " + "значит".encode().decode("gbk", "replace"),
         106: "plain " * 20000 + "côté".encode().decode("mac_roman"),
     }
     good = {200: "ANOTAÇÃO DA MANHÃ", 201: "", 202: None, 203: "слово ШУБА", 204: "a\xa0b", 205: "ascii only"}
@@ -42,6 +56,8 @@ def test_restored(docs):
     assert got[101]["restored"] == "слово значит"
     assert got[102]["restored"] == "나란히"
     assert got[103]["restored"] == "x légère"
+    assert got[107]["restored"] == "слово зимний" and got[108]["restored"] == "слово значит" and got[108]["classes"] == ["word"]
+    assert got[104]["classes"] == ["lost"] and "pieces" not in got[100]["classes"]
     assert got[104]["n_lost"] == 1 and got[104]["restored"] == "lost � here"
     assert got[105]["restored"] == "zenfôlé bôn"
     assert got[106]["restored"].endswith("plain côté")

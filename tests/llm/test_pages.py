@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from verbarium.llm import pages as P
 
 
@@ -51,6 +53,37 @@ def test_rare_site_lines(spark):
     assert len(got & truth) / len(truth) > 0.97 and len(got & truth) / len(got) > 0.97
 
 
+def test_the_ratio_decides(spark, monkeypatch):
+    """Without the ratios most site lines are lost; a higher threshold takes in the article."""
+    rows, truth = corpus()
+    found = lambda: {tuple(r) for r in P.site_lines(frame(spark, rows), "crawl_id", "url", "content").collect()}
+    real = P.ratio
+    monkeypatch.setattr(P, "ratio", lambda mass, pages, of, prose: F.lit(P.ALONE))
+    assert len(found() & truth) < 0.7 * len(truth)
+    monkeypatch.setattr(P, "ratio", real)
+    monkeypatch.setattr(P, "LOW", P.ALONE + 1)
+    assert len(found() - truth) > len(truth) / 2
+
+
+def test_ratio_and_fusion(spark):
+    df = spark.createDataFrame([(20.0, 10, 100, False), (200.0, 10, 100, True), (20.0, 1, 100, False), (200.0, 2, 4, True), (20.0, 100, 100, False)], "mass double, pages long, n long, prose boolean")
+    got = [r[0] for r in df.select(P.ratio(F.col("mass"), F.col("pages"), F.col("n"), F.col("prose"))).collect()]
+    assert got[0] < got[1] < P.LOW < P.ALONE == got[2] == got[3] and got[4] < got[0]
+    # a path that is rare on one site and common on another takes the lower, common ratio
+    line = lambda h, p, path: (h, p, path, P.SHORT, 10, 0, [], [])
+    rows = [line(1, k, 7) for k in range(50)] + [line(2, 100 + k, 1000 + k) for k in range(60)] + [line(2, 100, 7)]
+    lines = spark.createDataFrame(rows, "host long, page long, path long, form int, chars int, marks int, pieces array<long>, gloss array<long>")
+    got = {(r["host"], r["path"]): r["ratio"] for r in P.path_ratios(lines).collect()}
+    assert got[1, 7] < got[2, 7] < P.LOW and got[2, 1001] == P.ALONE
+
+
+def test_smoothing(spark):
+    rows = [(1, 0, 2.0, True), (1, 1, 5.0, False), (1, 2, 2.0, False), (1, 4, 5.0, True), (1, 5, 6.9, False), (2, 0, 5.0, True)]
+    df = spark.createDataFrame(rows, "doc long, line_no int, ratio double, gap boolean")
+    got = [round(r[0], 3) for r in df.select("doc", "line_no", P.smoothed().alias("s")).orderBy("doc", "line_no").select("s").collect()]
+    assert got == [2.3, 4.4, 2.3, 5.19, 6.71, 5.0]  # the second line is drawn under LOW by its block, the fourth is not
+
+
 def test_main_content(spark):
     rows, truth = corpus(30)
     got = {r["crawl_id"]: r["body"] for r in P.main_content(frame(spark, rows + [(99, "u", None, "")]), "crawl_id", "url", "content").collect()}

@@ -1,14 +1,19 @@
 """Main content of web pages kept as text: path ratios over lines.
 
-Extracted pages have no tags left, so a line's place in the page is its path: site (host) / line form / normal text, in
+Extracted pages have no tags left, so what stands for a line's tag path is: site (host) / line form / normal text, in
 which digits, the site's own name and a trailing variable part (the last step of a breadcrumb, the value after a label)
-are generalised. A path that recurs on a good share of its sites' pages is the site's, whatever its length. For the others
-each path gets its *ratio*: characters, weighted by punctuation, per page of the site that holds the path. Content paths are
-new on every page (ratio near their own length); site paths recur (ratio near zero). Ratios are smoothed along the page (a short
-heading over a paragraph takes its paragraph's ratio) and thresholded, and such a line must stand among lines of the site. Both are
-fused with what the separators of menus and the glosses of word lists tell about short lines.
-
-Counts are taken over distinct URLs, so repeated crawls do not turn an article into a template.
+are generalised. For every path the text length and the punctuation of its lines are aggregated and fused to its *mass*
+(length times one plus a tenth of the marks), and the nodes of the path are counted as the share of the site's pages that hold it. The
+*ratio* of a path is the logarithm of its mass over that share: text that is new on every page has a high ratio, site text of
+any length recurs and has a low one. A path's ratio on its own site and that over all sites that use it are fused to the lower one. A path
+without support (held by a single page; by two, if it is prose) says nothing of recurrence and gets the ratio ``ALONE``. Ratios are
+smoothed along the page, over the lines of a block, and a line is the site's if its smoothed ratio is under ``LOW``.
+
+Menus, glosses and headings refine this: a line all of whose pieces are known from menus is one, word lists and subheadings are the article's,
+and a list under a site's heading that leads to links goes with it.
+
+Counts are taken over distinct URLs, so repeated crawls do not turn an article into a template. Texts are hashed once they are read:
+the tables hold 64-bit numbers.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbarium.plans.runtime import spread, stored
@@ -31,8 +36,14 @@ _PROSE = re.compile(r"[.!?…。][”»\"')]*$")
 _GLOSS = re.compile(r"^(.{1,80}?)\s([–—-])\s(.{1,80})$")
 
 
-#: Logarithm of 1 + ratio, smoothed over a line and its two neighbours, under which a recurring path is the site's.
-LOW = math.log(2)
+FORMS = ("arrow", "crumbs", "label", "listed", "menu", "prose", "short", "titled")
+ARROW, CRUMBS, LABEL, LISTED, MENU, PROSE, SHORT, TITLED = range(8)
+#: Smoothed ratio under which a line is the site's.
+LOW = math.log(100)
+#: Ratio of a path without support.
+ALONE = math.log(1000)
+#: Weight of a line against each of its neighbours in the smoothing.
+OWN = 8
 
 
 def host_of(url: str | None) -> str:
@@ -80,7 +91,7 @@ def path_of(line: str, host: str) -> tuple[str, str, list[str], list[str]]:
     return "short", s.rstrip(" »").lower(), [], []
 
 
-LINE_SCHEMA = "doc long, url string, host string, line_no int, form string, path string, pieces array<string>, gloss array<string>, chars int, marks int, gap boolean"
+LINE_SCHEMA = "doc long, url string, host string, line_no int, form byte, path string, pieces array<string>, gloss array<string>, chars int, marks int, gap boolean"
 
 
 def page_lines(df: DataFrame, key: str, url: str, content: str) -> DataFrame:
@@ -100,7 +111,7 @@ def page_lines(df: DataFrame, key: str, url: str, content: str) -> DataFrame:
                         continue
                     form, path, pieces, gloss = path_of(line, host)
                     marks = sum(c in ".,;:!?…«»“”" for c in line)
-                    rows.append((doc, u, host, i, form, path, pieces, gloss, len(line), marks, gap))
+                    rows.append((doc, u, host, i, FORMS.index(form), path, pieces, gloss, len(line), marks, gap))
                     gap = False
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in LINE_SCHEMA.split(", ")])
 
@@ -108,67 +119,82 @@ def page_lines(df: DataFrame, key: str, url: str, content: str) -> DataFrame:
     return spread(src).mapInPandas(run, LINE_SCHEMA)
 
 
-def site_lines(df: DataFrame, key: str, url: str, content: str, share: float = 0.06) -> DataFrame:
-    """(``key``, ``line_no``): the lines of web pages that belong to the site.
-
-    ``share``: a path on at least this share of the pages of the sites that use it (and on three pages if it is prose, on two else) is the site's;
-    a path on fewer is judged by its smoothed ratio.
-    Lines are split at ``\\n`` and numbered from 0. Null and empty contents and scans give none; a null URL is a site of its
-    own; repeated rows of a key give each line once.
-    """
-    lines = stored(page_lines(df, key, url, content), "p4-lines")
+def hashed_lines(df: DataFrame, key: str, url: str, content: str) -> DataFrame:
+    """:func:`page_lines` with 64-bit numbers for page, site, path, pieces and glosses."""
     page = F.when(F.col("url") == "", F.concat(F.lit("#"), F.col("doc").cast("string"))).otherwise(F.col("url"))
-    on_site = lines.select("host", "path", page.alias("page"), "chars", "marks", "form").distinct().groupBy("host", "path").agg(
-        F.countDistinct("page").alias("pages"), F.avg(F.col("chars") * (1 + F.col("marks") / 10)).alias("mass"), F.max(F.col("form") == "prose").alias("prose")
+    number = lambda c: F.transform(c, lambda x: F.xxhash64(x))
+    return page_lines(df, key, url, content).select(
+        "doc", "line_no", "form", "chars", "marks", "gap", F.xxhash64("host").alias("host"), F.xxhash64(page).alias("page"), F.xxhash64("path").alias("path"),
+        (F.col("path") == "@").alias("name"), number("pieces").alias("pieces"), number("gloss").alias("gloss"),
     )
-    sites = lines.select("host", page.alias("page")).distinct().groupBy("host").agg(F.count("*").alias("site_pages"))
-    on_site = stored(on_site.join(sites, "host"), "p4-paths")
-    overall = on_site.groupBy("path").agg(F.sum("pages").alias("all_pages"), F.sum("site_pages").alias("all_site_pages"), F.count("*").alias("sites"))
-    menu = lines.where("form in ('menu', 'crumbs')").select(F.explode("pieces").alias("path"), page.alias("page")).groupBy("path").agg(F.count("*").alias("n_menu"))
-    glosses = lines.select(F.explode("gloss").alias("path")).groupBy("path").agg(F.count("*").alias("n_gloss"))
-    known = (
-        on_site.join(overall, "path").join(menu, "path", "left").join(glosses, "path", "left").fillna(0, ["n_menu", "n_gloss"])
-        .select("host", "path", "pages", "site_pages", "mass", "prose", "all_pages", "all_site_pages", "n_menu", "n_gloss")
+
+
+def ratio(mass: Column, pages: Column, of: Column, prose: Column) -> Column:
+    """The ratio of a path held by ``pages`` of the ``of`` pages of its site."""
+    least = F.when(prose, 3).otherwise(2)
+    return F.when(pages >= least, F.log(F.log1p(mass) * of / pages)).otherwise(ALONE)
+
+
+def path_ratios(lines: DataFrame) -> DataFrame:
+    """(``host``, ``path``, ``ratio``, ``n_menu``, ``n_gloss``, ``menu_share``): the fused ratio of every path of a site, how often its text is a
+    menu's piece or a gloss, and the share of its own pieces that menus know."""
+    sites = lines.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("site_pages"))
+    per = lines.groupBy("host", "path").agg(
+        F.count_distinct("page").alias("pages"), F.avg("chars").alias("chars"), F.avg("marks").alias("marks"), F.max(F.col("form") == PROSE).alias("prose"),
+        F.count("*").alias("n"), F.any_value("pieces").alias("pieces"), F.any_value("gloss").alias("gloss"),
     )
-    # the ratio of a path: mass per page of the site that holds it; recurring paths share one text between many pages
-    here = F.col("pages") / F.col("site_pages")
-    anywhere = F.col("all_pages") / F.col("all_site_pages")
-    least = F.when(F.col("prose"), 3).otherwise(2)
-    recurs = ((F.col("pages") >= least) & (here >= share)) | ((F.col("all_pages") >= least) & (anywhere >= share))
+    per = stored(per.join(sites, "host").withColumn("mass", F.col("chars") * (1 + F.col("marks") / 10)).drop("chars", "marks"), "p4-paths")
+    overall = per.groupBy("path").agg(
+        F.sum("pages").alias("all_pages"), F.sum("site_pages").alias("all_site_pages"), F.sum("n").alias("n"), F.any_value("pieces").alias("pieces"), F.any_value("gloss").alias("gloss")
+    )
+    overall = stored(overall, "p4-overall")
+    menu = overall.select(F.explode("pieces").alias("path"), "n").groupBy("path").agg(F.sum("n").alias("n_menu"))
+    glosses = overall.select(F.explode("gloss").alias("path"), "n").groupBy("path").agg(F.sum("n").alias("n_gloss"))
+    pieces = overall.select(F.col("path").alias("of"), F.explode("pieces").alias("path")).join(menu, "path")
+    known = pieces.groupBy(F.col("of").alias("path")).agg(F.avg((F.col("n_menu") >= 2).cast("int")).alias("menu_share"))
+    overall = overall.select("path", "all_pages", "all_site_pages").join(menu, "path", "left").join(glosses, "path", "left").join(known, "path", "left").fillna(0)
+    here, anywhere = ratio(F.col("mass"), F.col("pages"), F.col("site_pages"), F.col("prose")), ratio(F.col("mass"), F.col("all_pages"), F.col("all_site_pages"), F.col("prose"))
+    fused = F.least(here, anywhere)
+    # what is glossed as a word more often than it stands in menus is the heading of a word list
     heading = (F.col("n_gloss") > F.col("n_menu")) & (F.col("n_gloss") >= 2)
-    known = known.withColumn("ratio", F.col("mass") / F.col("pages")).withColumn("fixed", recurs & ~heading).withColumn("again", (F.col("pages") >= least) & ~heading)
+    return per.join(overall, "path").select("host", "path", F.when(heading, ALONE).otherwise(fused).alias("ratio"), "n_menu", "n_gloss", "menu_share")
+
+
+def smoothed(by: str = "doc") -> Column:
+    """The ratio of a line, averaged with its neighbours in the block: a blank line ends one."""
+    w = Window.partitionBy(by).orderBy("line_no")
+    before = F.coalesce(F.when(~F.col("gap"), F.lag("ratio").over(w)), F.col("ratio"))
+    after = F.coalesce(F.when(~F.lead("gap").over(w), F.lead("ratio").over(w)), F.col("ratio"))
+    return (before + OWN * F.col("ratio") + after) / (OWN + 2)
+
 
-    # menus: every piece must be known from other menus or be a fixed path itself
-    x = lines.join(known.select("host", "path", "ratio", "fixed", "again", "n_menu", "n_gloss"), ["host", "path"])
-    piece = lines.where("form in ('menu', 'crumbs')").select("doc", "line_no", F.explode("pieces").alias("path")).join(menu, "path")
-    menus = piece.groupBy("doc", "line_no").agg(F.avg((F.col("n_menu") >= 2).cast("int")).alias("menu_share"))
-    x = x.join(menus, ["doc", "line_no"], "left")
+def site_lines(df: DataFrame, key: str, url: str, content: str) -> DataFrame:
+    """(``key``, ``line_no``): the lines of web pages that belong to the site.
 
+    Lines are split at ``\\n`` and numbered from 0. Null and empty contents and scans give none; a null URL is a site of its
+    own; repeated rows of a key give each line once.
+    """
+    lines = stored(hashed_lines(df, key, url, content), "p4-lines")
+    x = lines.drop("page", "pieces", "gloss", "chars", "marks").join(path_ratios(lines), ["host", "path"])
     w = Window.partitionBy("doc").orderBy("line_no")
-    # recurring paths under the share: a low ratio, smoothed over the neighbours, and site lines in the same block or on both sides
-    x = x.withColumns({"low": F.log1p("ratio"), "block": F.sum(F.col("gap").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    side = lambda c, none: (F.coalesce(F.lag(c).over(w), none), F.coalesce(F.lead(c).over(w), none))
-    before, after = side("low", F.lit(0.0))
-    above, below = side("fixed", F.lit(True))
-    among = F.max("fixed").over(Window.partitionBy("doc", "block")) | (above & below)
-    x = x.withColumn("rare", F.col("again") & ((before + 2 * F.col("low") + after) / 4 < LOW) & among)
-    x = x.withColumn("fixed", F.col("fixed") | F.col("rare")).drop("rare")
-    menu_line = F.col("form").isin("menu", "crumbs") & (F.coalesce("menu_share", F.lit(0)) >= 0.5)
-    item_of_menu = (F.col("form") == "short") & (F.col("n_menu") >= 2) & (F.col("n_menu") > F.col("n_gloss"))
-    name = F.col("path") == "@"
-    x = x.withColumn("site", (F.col("fixed") & (F.col("form") != "arrow") | menu_line | item_of_menu | name) & ~F.col("form").isin("titled", "listed"))
+    x = x.withColumn("fixed", smoothed() < LOW)
+    is_ = lambda *forms: F.col("form").isin(*forms)
+    menu_line = is_(MENU, CRUMBS) & (F.col("menu_share") >= 0.5)
+    item_of_menu = is_(SHORT) & (F.col("n_menu") >= 2) & (F.col("n_menu") > F.col("n_gloss"))
+    x = x.withColumn("site", (F.col("fixed") & ~is_(ARROW) | menu_line | item_of_menu | F.col("name")) & ~is_(TITLED, LISTED))
     # a list under a fixed heading: arrows, glossed and bare entries without a gap (a known gloss over a paragraph is a
     # subheading); the heading is one that leads to arrows
     nxt = lambda c, k: F.lead(c, k).over(w)
-    arrow_near = F.greatest(*(F.coalesce((nxt("form", k) == "arrow").cast("int"), F.lit(0)) for k in (1, 2, 3)))
-    x = x.withColumns({"leads": F.col("site") & (F.col("form") == "short") & ~F.coalesce(nxt("site", 1), F.lit(True)), "near": arrow_near})
-    heads = x.where("leads").groupBy("path").agg(F.avg("near").alias("arrows"), F.count("*").alias("n_leads")).where("arrows >= 0.2").select("path", F.lit(True).alias("head"))
+    arrow_near = F.greatest(*(F.coalesce((nxt("form", k) == ARROW).cast("int"), F.lit(0)) for k in (1, 2, 3)))
+    x = x.withColumns({"leads": F.col("site") & is_(SHORT) & ~F.coalesce(nxt("site", 1), F.lit(True)), "near": arrow_near, "next": nxt("form", 1)})
+    x = stored(x.select("doc", "line_no", "form", "gap", "path", "site", "leads", "near", "next", "n_gloss"), "p4-judged")
+    heads = x.where("leads").groupBy("path").agg(F.avg("near").alias("arrows")).where("arrows >= 0.2").select("path", F.lit(True).alias("head"))
     x = x.join(heads, "path", "left")
     head = F.coalesce("head", F.lit(False)) & F.col("site")
-    entry = ~F.col("site") & ~F.col("gap") & (F.col("form").isin("arrow", "titled") | ((F.col("form") == "short") & ((F.col("n_gloss") < 2) | (F.coalesce(nxt("form", 1), F.lit("")) != "prose"))))
+    entry = ~F.col("site") & ~F.col("gap") & (is_(ARROW, TITLED) | (is_(SHORT) & ((F.col("n_gloss") < 2) | (F.coalesce("next", F.lit(-1)) != PROSE))))
     state = F.when(head, F.lit(1)).when(entry, F.lit(None)).otherwise(F.lit(0))
     x = x.withColumn("state", state).withColumn("open", F.last("state", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.withColumn("site", F.col("site") | (F.col("state").isNull() & (F.col("open") == 1)) | (F.col("form") == "arrow"))
+    x = x.withColumn("site", F.col("site") | (F.col("state").isNull() & (F.col("open") == 1)) | is_(ARROW))
     return x.where("site").select(F.col("doc").alias(key), "line_no").distinct()
 
 

@@ -61,6 +61,14 @@ def test_batch_score_equals_single(samples):
 
 
 def test_labels(spark):
-    df = spark.createDataFrame([(v,) for v in ["en", "EN", "eng", "English", "en-US", "pt_BR", "und", "", None, "xx", "Español", "qaa", "Klingon"]], "v string")
-    got = [r[0] for r in df.select(L.label_code(F.col("v"), L.notation_table())).collect()]
-    assert got == ["en", "en", "en", "en", "en", "pt", None, None, None, None, "es", "qaa", "klingon"]
+    said = ["en", "EN", "eng", "English", "en-US", "pt_BR", "und", "", None, "xx", "Español", "qaa", "Klingon", "Kalo", "English"]
+    df = spark.createDataFrame(list(enumerate(said)), "k int, label string")
+    names = spark.createDataFrame([("qaa", "Kalo"), ("qab", "kalo "), ("zz", "english"), (None, "x"), ("qac", None)], "code string, name string")
+    got = [r["code"] for r in L.label_codes(df, L.notation_table(spark, names)).orderBy("k").collect()]
+    assert got == ["en", "en", "en", "en", "en", "pt", None, None, None, None, "es", "qaa", "klingon", "qaa", "en"]
+
+
+def test_model_size_is_checked(samples, monkeypatch):
+    monkeypatch.setattr(L, "MODEL_BYTES", 1000)
+    with pytest.raises(ValueError, match="fewer bits"):
+        L.fit(samples, "lang", "text")

@@ -53,6 +53,20 @@ def test_report_kinds(spark):
     assert got == {1: ("exact", 30, 30), 2: ("proximity", 14, 28), 3: ("phrase", 13, 13)}
 
 
+def test_proximity_without_a_run(spark):
+    """Copies with every tenth word replaced, with words put in and left out; a text of the same words in another order is none."""
+    words = [f"t{i}" for i in range(40)]
+    tenth = [w if k % 10 else f"o{k}" for k, w in enumerate(words)]
+    fifth = [w if k % 5 else f"o{k}" for k, w in enumerate(words)]
+    put = [*words[:10], "so", *words[10:20], *words[21:31], "very", *words[31:]]
+    half = [w if k % 2 else f"o{k}" for k, w in enumerate(words)]
+    docs = [(1, " ".join(tenth)), (2, " ".join(fifth)), (3, "x y " + " ".join(put) + " z"), (4, " ".join(half)), (5, " ".join(words[::-1])), (6, " ".join(words[20:] + words[:20]))]
+    d, i = frames(spark, docs, [(5, " ".join(words))])
+    got = {r["doc_id"]: (r["match"], r["longest"], r["covered"]) for r in leaks.report(d, "doc_id", "text", i, "item_id", "text").collect()}
+    assert got == {1: ("proximity", 9, 36), 2: ("proximity", 4, 32), 3: ("proximity", 10, 39), 6: ("phrase", 20, 20)}
+    assert {r["doc_id"] for r in leaks.find_leaks(d, "doc_id", "text", i, "item_id", "text").collect()} == {6}
+
+
 def test_unicode_forms_and_empty(spark):
     item = "réponse " + " ".join(f"x{k}" for k in range(12))
     import unicodedata

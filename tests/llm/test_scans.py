@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from verbarium.llm import scans as S
 
 NOUNS = ["market", "stone", "river", "garden", "basket", "winter", "harvest", "children", "speaker", "village"]
@@ -88,6 +90,24 @@ def test_words():
     assert len(S.undo("cl" * 30)) < 20000
 
 
+def test_long_words_are_judged_like_short_ones(spark):
+    rnd = random.Random(3)
+    for _ in range(200):
+        w = "".join(rnd.choice(["rn", "m", "cl", "d", "li", "h", "ii", "n", "1", "o", "a", "c", "s"]) for _ in range(rnd.randrange(2, 9)))
+        near = S.undo(w)
+        assert all(S.undone(w, o) for o in near)
+        other = [x for o in list(near)[:20] for x in S.undo(o)]
+        assert all(S.undone(w, o) == (o in near) for o in other if o != w)
+    df = spark.createDataFrame([(w,) for w in ["modern", "rnodem", "rock", "dock", "ﬁne", "fine", "win", "vvii1"]], "w string")
+    k = [r[0] for r in df.select(S.skeleton(F.col("w"))).collect()]
+    assert k[0] == k[1] and k[4] == k[5] and k[2] != k[3]
+    long = "kalo" * 20
+    text = "The word is broken off in the middle of every\nline of this page because it was printed in\ncolumns and the " + long.replace("o", "0", 1) + " of nobody\nis what they know about it in the\nlast and longest line of all"
+    rows = [(k, f"Plain {long} here number {k}.") for k in range(4)] + [(9, text)]
+    got = S.faulty_lines(spark.createDataFrame(rows, "crawl_id long, content string"), "crawl_id", "content").collect()
+    assert (9, 2, "misread") in {tuple(r) for r in got}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "crawl_id long, content string")
     assert S.faulty_lines(df, "crawl_id", "content").count() == 0

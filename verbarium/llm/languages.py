@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbarium.llm.pages import is_scan, path_of
@@ -37,6 +37,10 @@ NOTATIONS = {
 }
 
 
+#: The model is broadcast: more languages than fit (4,096 with 16 bits) need fewer ``bits``; a larger model is refused.
+MODEL_BYTES = 1 << 30
+
+
 def sentences(text: str) -> list[str]:
     """The sentences of a text in reading order. Printed lines of a scan are joined first; elsewhere a line ends a sentence.
     Menus, word lists and lines of fewer than six words that end no sentence are left out if anything else is there;
@@ -125,6 +129,8 @@ def fit(samples: DataFrame, lang: str, text: str, per_language: int = 200, bits:
         .withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_language).select("lang", "text").collect()
     )
     names = sorted({r["lang"] for r in rows})
+    if (len(names) << bits) * 4 > MODEL_BYTES:
+        raise ValueError(f"a model of {len(names)} languages and 2**{bits} buckets is over {MODEL_BYTES} bytes: fewer bits are needed")
     counts = np.zeros((1 << bits, max(1, len(names))))
     for r in rows:
         c = _codes(r["text"])
@@ -194,30 +200,33 @@ def segments(df: DataFrame, key: str, content: str, model: Model, price: float =
     return spread(src).mapInPandas(run, SEGMENTS)
 
 
-def notation_table(names: DataFrame | None = None) -> dict[str, str]:
-    """Lower-case notation -> code. ``names``: (``code``, ``name``) of further languages, a reference table of bounded size."""
-    out = {x: c for c, xs in NOTATIONS.items() for x in (c, *xs)}
+def notation_table(spark: SparkSession, names: DataFrame | None = None) -> DataFrame:
+    """(``notation``, ``code``): lower-case notations, each once; fixed ones first, then of ``names`` (``code``, ``name``) the smallest code."""
+    fixed = spark.createDataFrame([(x, c, 0) for c, xs in NOTATIONS.items() for x in (c, *xs)], "notation string, code string, r int")
     if names is not None:
-        for r in names.where("code is not null and name is not null").limit(100_000).collect():
-            out.setdefault(r["name"].strip().lower(), r["code"])
-            out.setdefault(r["code"].strip().lower(), r["code"])
-    return out
+        n = names.where("code is not null and name is not null").select("code", F.explode(F.array(F.lower(F.trim("name")), F.lower(F.trim("code")))).alias("notation"))
+        fixed = fixed.unionByName(n.select("notation", "code", F.lit(1).alias("r")))
+    return fixed.groupBy("notation").agg(F.min(F.struct("r", "code"))["code"].alias("code"))
 
 
-def label_code(label, table: dict[str, str]):
-    """The code a label means (null: missing or undefined; a label in no known notation stays as it is, in lower case)."""
-    low = F.lower(F.trim(label))
-    pairs = F.create_map(*(F.lit(x) for kv in sorted(table.items()) for x in kv))
-    base = F.regexp_extract(low, r"^([\p{L}]{2,3})[-_][\p{L}\p{N}_-]+$", 1)
-    code = F.coalesce(pairs[low], F.when(base != "", F.coalesce(pairs[base], base)), low)
-    return F.when(low.isNull() | low.isin(*UNDEFINED), F.lit(None)).otherwise(code)
+def label_codes(labels: DataFrame, notations: DataFrame) -> DataFrame:
+    """``labels`` (with a column ``label``) and the ``code`` a label means (null: missing or undefined; a label in no known notation stays as
+    it is, in lower case). Distinct labels are joined with the notations, whatever their number."""
+    low = F.lower(F.trim("label"))
+    base = F.nullif(F.regexp_extract(low, r"^([\p{L}]{2,3})[-_][\p{L}\p{N}_-]+$", 1), F.lit(""))
+    said = labels.select("label").distinct().withColumns({"low": low, "base": base})
+    said = said.join(notations.select(F.col("notation").alias("low"), F.col("code").alias("c1")), "low", "left")
+    said = said.join(notations.select(F.col("notation").alias("base"), F.col("code").alias("c2")), "base", "left")
+    code = F.when(F.col("low").isNotNull() & ~F.col("low").isin(*UNDEFINED), F.coalesce("c1", "c2", "base", "low"))
+    return labels.join(said.select("label", code.alias("code")), "label", "left")
 
 
 def faulty_labels(df: DataFrame, key: str, content: str, label: str, samples: DataFrame, lang: str, text: str, names: DataFrame | None = None) -> DataFrame:
     """(``key``, ``seg_pos``, ``lang``): all runs of the texts whose label is missing, undefined or not the language of their
     first run, and of those with several runs. Repeated rows of a key count once."""
     seg = segments(df, key, content, fit(samples, lang, text))
-    one = df.select(F.col(key).cast("long").alias("doc"), label_code(F.expr(label), notation_table(names)).alias("code")).groupBy("doc").agg(F.max("code").alias("code"))
+    labels = df.select(F.col(key).cast("long").alias("doc"), F.expr(label).alias("label"))
+    one = label_codes(labels, notation_table(df.sparkSession, names)).groupBy("doc").agg(F.max("code").alias("code"))
     per = seg.groupBy("doc").agg(F.max("seg_pos").alias("last"), F.array_sort(F.collect_set(F.struct("seg_pos", "lang"))).alias("runs"))
     bad = per.join(one, "doc").where((F.col("last") > 0) | F.col("code").isNull() | (F.col("code") != F.col("runs")[0]["lang"]))
     return bad.select(F.col("doc").alias(key), F.inline("runs"))

@@ -9,6 +9,7 @@ are verified against all item postings of the document, and runs of consecutive
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Iterator
 
@@ -47,9 +48,12 @@ def postings(docs: DataFrame, key: str, text: str, only: DataFrame | None = None
     return out if only is None else out.join(small(only), "term", "left_semi")
 
 
-def alignments(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, words: int = 12) -> DataFrame:
+def alignments(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, words: int = 12, near: float | None = None, slack: int = 2) -> DataFrame:
     """(``item``, ``doc``, ``shift``, ``longest``, ``covered``, ``length``): every alignment of an item with a document that
-    has a run of at least ``words`` equal consecutive words; ``covered`` counts all equal words at that shift."""
+    has a run of at least ``words`` equal consecutive words; ``covered`` counts all item words that stand at that shift. With ``near``
+    also those without such a run that hold at least that share of the item's words within ``slack`` places of the shift (words put in
+    or left out move the rest): they are anchored on the runs of ``ceil(near / (1 - near)) - 1`` words that such a copy must have."""
+    least = words if near is None else min(words, max(1, math.ceil(near / (1 - near) - 1e-9) - 1))
     src = _normalised(items.select(F.col(item_key).alias("item"), F.col(item_text).alias("t")).distinct(), "t")
     it = stored(src.select("item", F.posexplode(terms(F.col("t"))).alias("at", "term")), "p8-items")
     index = stored(postings(docs, key, text, it.select("term").distinct()), "p8-postings")
@@ -58,13 +62,13 @@ def alignments(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
 
     order = F.struct("df", "term", "at")
     by_item = Window.partitionBy("item").orderBy("at")
-    span = by_item.rowsBetween(0, words - 1)
+    span = by_item.rowsBetween(0, least - 1)
     win = ranked.select(
         "item",
         F.size(F.collect_list("at").over(span)).alias("n"),
         F.slice(F.array_sort(F.collect_list(order).over(span)), 1, 2).alias("rare"),
-    ).where((F.col("n") == words) & (F.col("rare")[0]["df"] > 0))
-    second = F.get(F.col("rare"), F.lit(1 if words > 1 else 0))
+    ).where((F.col("n") == least) & (F.col("rare")[0]["df"] > 0))
+    second = F.get(F.col("rare"), F.lit(1 if least > 1 else 0))
     anchors = win.select(
         "item", F.col("rare")[0]["term"].alias("term"), F.col("rare")[0]["at"].alias("at"), second["term"].alias("term2"), second["at"].alias("at2")
     ).distinct()
@@ -75,20 +79,18 @@ def alignments(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     met = other.join(small(first.select("doc", "term2", "pos2").distinct()), ["doc", "term2", "pos2"], "left_semi").distinct()
     candidates = stored(first.join(small(met), ["doc", "term2", "pos2"], "left_semi").select("item", "doc", "shift").distinct(), "p8-candidates")
 
-    hits = (
-        index.join(small(candidates), "doc")
-        .withColumn("at", F.col("pos") - F.col("shift"))
-        .join(small(it), ["item", "at", "term"], "left_semi")
-        .groupBy("item", "doc", "shift")
-        .agg(F.array_sort(F.collect_set("at")).alias("ats"))
+    reach = 0 if near is None else slack
+    placed = index.join(small(candidates), "doc").join(small(it), ["item", "term"]).withColumn("off", F.abs(F.col("pos") - F.col("shift") - F.col("at")))
+    hits = placed.where(F.col("off") <= reach).groupBy("item", "doc", "shift").agg(
+        F.array_sort(F.collect_set(F.when(F.col("off") == 0, F.col("at")))).alias("ats"), F.count_distinct("at").alias("covered")
     )
     longest = F.expr("aggregate(ats, struct(0 as run, -9 as last, 0 as best), (a, x) -> struct(if(x = a.last + 1, a.run + 1, 1) as run, x as last, greatest(a.best, if(x = a.last + 1, a.run + 1, 1)) as best), a -> a.best)")
     size = it.groupBy("item").agg(F.max("at").alias("length"))
     return (
-        hits.select("item", "doc", "shift", longest.alias("longest"), F.size("ats").alias("covered"))
-        .where(F.col("longest") >= words)
+        hits.select("item", "doc", "shift", longest.alias("longest"), F.col("covered").cast("int").alias("covered"))
         .join(small(size), "item")
         .withColumn("length", F.col("length") + 1)
+        .where((F.col("longest") >= words) | ((F.col("length") >= words) & (F.col("covered") >= near * F.col("length")) if near is not None else F.lit(False)))
     )
 
 
@@ -104,8 +106,8 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
 
 def report(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, words: int = 12, near: float = 0.8) -> DataFrame:
     """Best alignment of each leaked (item, document): ``match`` is ``exact`` (the whole item), ``proximity`` (at least the
-    share ``near`` of its words in place) or ``phrase``; with the longest run and the words covered."""
-    a = alignments(docs, key, text, items, item_key, item_text, words)
+    share ``near`` of its words in place, with or without a run of ``words``) or ``phrase``; with the longest run and the words covered."""
+    a = alignments(docs, key, text, items, item_key, item_text, words, near)
     best = a.groupBy("item", "doc").agg(F.max(F.struct("covered", "longest", "length")).alias("b"))
     match = F.when(F.col("b.longest") == F.col("b.length"), "exact").when(F.col("b.covered") >= near * F.col("b.length"), "proximity").otherwise("phrase")
     return best.select(F.col("item").alias(item_key), F.col("doc").alias(key), match.alias("match"), "b.longest", "b.covered", "b.length")

@@ -138,8 +138,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.selectExpr("field", "a as rec_a", "b as rec_b")
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with look-alikes by class, with their number of links."""
+    return lookalike.same_look_classes(table(spark, sf_dir, "vocabulary"), "rec_id", "language_code", P3_FIELDS)
+
+
 def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each headword with its one form."""
+    """Each headword with its canonical text and its key."""
     return lookalike.canonicalise(table(spark, sf_dir, "vocabulary").select("rec_id", "headword_native"), {"headword_native": "headword_form"})
 
 
@@ -149,6 +154,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_segments": p2_segments,
     "p3_found": p3_found,
+    "p3_classes": p3_classes,
     "p3_canonical": p3_canonical,
     "p4_found": p4_found,
     "p4_main_content": p4_main_content,

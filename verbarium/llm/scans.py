@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verbarium.llm.pages import is_scan
@@ -194,8 +194,7 @@ def words_of(text: str) -> list[str]:
 
 
 def undo(word: str, most: int = 2) -> set[str]:
-    """The words from which at most ``most`` recognition errors give ``word`` (some length to the power ``most`` at most; words
-    beyond 60 characters are not judged)."""
+    """The words from which at most ``most`` recognition errors give ``word`` (some length to the power ``most`` at most)."""
     seen, edge = {word}, {word}
     for _ in range(most):
         nxt = set()
@@ -211,6 +210,44 @@ def undo(word: str, most: int = 2) -> set[str]:
     return seen
 
 
+#: Words up to this length are looked up by all forms :func:`undo` gives; longer ones by their :func:`skeleton`, with the same result.
+SPELLED = 60
+
+
+def skeleton(word: Column) -> Column:
+    """A key that no recognition error changes: both sides of every confusion have the same skeleton."""
+    out = word
+    for a, b in (("ﬁ", "fi"), ("ﬂ", "fl"), ("m", "rn"), ("w", "vv"), ("d", "cl"), ("h", "li"), ("n", "ii"), ("u", "ii")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.translate(out, "01lí5689cf", "oiiisbbget")
+
+
+def _steps(word: str) -> Iterator[str]:
+    for bad, good in CONFUSIONS:
+        at = word.find(bad)
+        while at >= 0:
+            yield word[:at] + good + word[at + len(bad) :]
+            at = word.find(bad, at + 1)
+
+
+def _one_step(word: str, original: str) -> bool:
+    a, n = 0, min(len(word), len(original))
+    while a < n and word[a] == original[a]:
+        a += 1
+    z = 0
+    while z < n - a and word[-1 - z] == original[-1 - z]:
+        z += 1
+    return any(
+        word[i : i + len(bad)] == bad and original[i : i + len(good)] == good and word[:i] == original[:i] and word[i + len(bad) :] == original[i + len(good) :]
+        for bad, good in CONFUSIONS for i in range(max(0, a - 2), a + 1) if len(word) - len(bad) == len(original) - len(good)
+    )
+
+
+def undone(word: str, original: str) -> bool:
+    """Whether at most two recognition errors turn ``original`` into ``word``."""
+    return word != original and (_one_step(word, original) or any(_one_step(w, original) for w in _steps(word)))
+
+
 _TOKENS = "doc long, line_no int, next_no int, kind string, word string, head string, tail string"
 
 
@@ -290,10 +327,17 @@ def judged(df: DataFrame, key: str, content: str, sample: int = 400, least: int
             rows = [(w, c) for w in b["word"] for c in undo(w)]
             yield pd.DataFrame(rows, columns=["word", "original"])
 
+    @F.pandas_udf("boolean")
+    def same(words: pd.Series, originals: pd.Series) -> pd.Series:
+        return pd.Series([undone(w, o) for w, o in zip(words, originals)], dtype=bool)
+
     said = tokens.where("word is not null").select("word").distinct()
     unknown = said.join(lex.select("word"), "word", "left_anti").repartition(width(df.sparkSession))
     held = lex.where(F.col("n") >= least).select(F.col("word").alias("original"), "n")
-    made = unknown.where(F.length("word").between(2, 60)).mapInPandas(candidates, "word string, original string")
+    letters = F.col("word").rlike(r"\p{L}")
+    made = unknown.where((F.length("word") <= SPELLED) & ((F.length("word") > 1) | letters)).mapInPandas(candidates, "word string, original string")
+    long = unknown.where(F.length("word") > SPELLED).withColumn("s", skeleton(F.col("word"))).join(held.where(F.length("original") > SPELLED / 2).select("original", skeleton(F.col("original")).alias("s")), "s")
+    made = made.unionByName(long.where(same("word", "original")).select("word", "original"))
     fixes = made.join(held, "original").groupBy("word").agg(F.max_by("original", F.struct("n", "original")).alias("original"))
     # a digit inside a word is misread even where the word itself is unknown
     mixed = unknown.where(F.col("word").rlike(r"\p{L}\d\p{L}|\p{L}{2}\d$|^\d\p{L}{3}") & ~F.col("word").rlike(r"\d{2}")).select("word", F.lit(None).cast("string").alias("o2"))

@@ -35,10 +35,10 @@ ROUTES = (
 EXTRACTION = {"dictionary": "dictionary", "article": "archive", "video": "video", "academic": "academic", "wiki": "wiki", "generic": "archive"}
 #: Code point ranges of scripts, the language each stands for, in the order of the full and the short detector.
 RANGES = {
-    "ko": r"가-힯ᄀ-ᇿ㄰-㆏", "th": r"฀-๿", "ar": r"؀-ۿݐ-ݿ", "hi": r"ऀ-ॿ",
-    "zh": r"一-鿿㐀-䶿", "ja": r"぀-ゟ゠-ヿ", "ru": r"Ѐ-ӿ", "ta": r"஀-௿",
-    "bn": r"ঀ-৿", "my": r"က-႟", "km": r"ក-៿", "am": r"ሀ-፿", "ka": r"Ⴀ-ჿ",
-    "gu": r"઀-૿", "te": r"ఀ-౿",
+    "ko": "\uac00-\ud7af\u1100-\u11ff\u3130-\u318f", "th": "\u0e00-\u0e7f", "ar": "\u0600-\u06ff\u0750-\u077f", "hi": "\u0900-\u097f",
+    "zh": "\u4e00-\u9fff\u3400-\u4dbf", "ja": "\u3040-\u309f\u30a0-\u30ff", "ru": "\u0400-\u04ff", "ta": "\u0b80-\u0bff",
+    "bn": "\u0980-\u09ff", "my": "\u1000-\u109f", "km": "\u1780-\u17ff", "am": "\u1200-\u137f", "ka": "\u10a0-\u10ff",
+    "gu": "\u0a80-\u0aff", "te": "\u0c00-\u0c7f",
 }
 FULL_ORDER = ("ko", "th", "ar", "hi", "zh", "ja", "ru", "ta", "bn", "my", "km", "am", "ka", "gu", "te")
 SHORT_ORDER = ("ko", "ar", "hi", "th", "zh", "ru", "bn", "ta", "my", "km", "am")
@@ -67,9 +67,14 @@ def reliability(text: Column) -> Column:
     return ordered(F.lower(text), RELIABILITY, 0.6)
 
 
-def domain_tier(url: Column) -> Column:
-    low = F.lower(url)
-    return F.when(low.rlike("|".join(CHEAP_SITES)), "cheap_first").when(low.rlike("|".join(HARD_SITES)), "hard_first").otherwise("cheap_first")
+#: The labels of sites that are read plainly first and of those that are not.
+TIERS = ("cheerio_first", "brightdata_first")
+
+
+def domain_tier(url: Column, labels: tuple[str, str] = TIERS) -> Column:
+    """The second label for hard sites that are not known to be easy, else the first."""
+    known = lambda sites: F.lower(url).rlike("|".join(sites))
+    return F.when(known(HARD_SITES) & ~known(CHEAP_SITES), labels[1]).otherwise(labels[0])
 
 
 def crawler_route(url: Column) -> Column:
@@ -112,16 +117,21 @@ def script_language_short(c: Column, hint: Column | None = None) -> Column:
     return out.otherwise("en")
 
 
+# Least length, size limit in KiB (None: any), least share of plain characters and the kinds of source of clean texts.
+CLEAN_TEXTS = ((200, None, 0.8, None), (100, 500, 0.7, None), (150, None, 0.75, ("academic", "wiki")))
+DEGRADED_LENGTH, DEGRADED_SHARE = 50, 0.4
+
+
 def scan_quality(text: Column, size_bytes: Column, kind: Column) -> Column:
+    """``degraded``, ``clean`` or ``unknown`` by length and share of plain characters."""
     n, bare = F.length(text), F.regexp_replace(text, r"\s", "")
-    ratio = F.coalesce(F.try_divide(F.length(F.regexp_replace(bare, r"""[^a-zA-Z0-9.,;:!?()\-'"]""", "")), F.length(bare)), F.lit(0.0))
-    return (
-        F.when((n < 50) | (ratio < 0.4), "degraded")
-        .when((n >= 200) & (ratio > 0.8), "clean")
-        .when((size_bytes / 1024 < 500) & (n >= 100) & (ratio > 0.7), "clean")
-        .when(kind.isin("academic", "wiki") & (n >= 150) & (ratio > 0.75), "clean")
-        .otherwise("unknown")
-    )
+    share = F.coalesce(F.try_divide(F.length(F.regexp_replace(bare, r"""[^a-zA-Z0-9.,;:!?()\-'"]""", "")), F.length(bare)), F.lit(0.0))
+    clean = F.lit(False)
+    for least, kib, over, kinds in CLEAN_TEXTS:
+        rule = (n >= least) & (share > over)
+        rule = rule if kib is None else rule & (size_bytes / 1024 < kib)
+        clean = clean | F.coalesce(rule if kinds is None else rule & kind.isin(*kinds), F.lit(False))
+    return F.when((n < DEGRADED_LENGTH) | (share < DEGRADED_SHARE), "degraded").when(clean, "clean").otherwise("unknown")
 
 
 def bucket(n: Column) -> Column:
@@ -141,12 +151,29 @@ def confidence_rank(c: Column) -> Column:
     return F.coalesce(m[c], F.lit(0))
 
 
+# Fixed values: (pattern, strategy) in the order they are tried.
+STRATEGIES = (
+    (r"pagination|page\s*\d|next\s*page|previous|»|›", "paginated"), ("search|filter|query|find", "searchable"), (r"scroll|load\s*more|infinite|show\s*more", "scrollable"),
+)
+
+
 def page_strategy(text: Column) -> Column:
     """How a page is walked, by what its text offers."""
-    low = F.lower(text)
-    return (
-        F.when(low.rlike(r"pagination|page\s*\d|next\s*page|previous|»|›"), "paginated")
-        .when(low.rlike("search|filter|query|find"), "searchable")
-        .when(low.rlike(r"scroll|load\s*more|infinite|show\s*more"), "scrollable")
-        .otherwise("simple")
-    )
+    return ordered(F.lower(text), STRATEGIES, "simple")
+
+
+# Fixed values: (pattern, label) in the order they are tried.
+POS_WORDS = (("pronoun|deixis", "pronoun"), ("verb", "verb"), ("noun|kinship", "noun"), ("particle", "particle"))
+CLUSTER_WORDS = (
+    ("kinship", "kinship"), ("phonolog|consonant|vowel|prosody", "phonology"), ("grammar|noun|verb|pronoun|particle|deixis", "grammar"),
+    ("vocabulary|sound symbolism|cultural", "vocabulary"), ("orthography", "orthography"),
+)
+
+
+def infer_pos(context: Column, word: Column) -> Column:
+    """The word class that the (lower-case) context names, else a verb by its ending, else ``unknown``."""
+    return F.coalesce(ordered(context, POS_WORDS, None), F.when(word.rlike("(?:-|da)$"), "verb"), F.lit("unknown"))
+
+
+def infer_cluster(context: Column) -> Column:
+    return ordered(context, CLUSTER_WORDS, None)

@@ -41,3 +41,45 @@ def fenced_json(text: Column) -> Column:
     fence = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
     body = F.when(fence != "", F.trim(fence)).otherwise(F.regexp_extract(text, r"(?s)([\[{].*[\]}])", 1))
     return F.when(F.try_parse_json(body).isNotNull(), body)
+
+
+# Names of contact languages and the code a recogniser knows them by.
+SPEECH = {
+    "Korean": "ko", "Japanese": "ja", "Mandarin Chinese": "zh", "Thai": "th", "Vietnamese": "vi", "Khmer": "km", "Burmese": "my", "Malay": "ms",
+    "Indonesian": "id", "Filipino": "tl", "Hindi": "hi", "Bengali": "bn", "Tamil": "ta", "Nepali": "ne", "Sinhala": "si", "Russian": "ru",
+    "Arabic": "ar", "Persian": "fa", "Turkish": "tr", "French": "fr", "Spanish": "es", "Portuguese": "pt", "English": "en", "German": "de",
+    "Italian": "it", "Dutch": "nl", "Polish": "pl", "Swedish": "sv", "Norwegian": "no", "Danish": "da", "Finnish": "fi", "Greek": "el",
+    "Hebrew": "he", "Swahili": "sw", "Amharic": "am", "Urdu": "ur", "Georgian": "ka", "Armenian": "hy", "Mongolian": "mn", "Maori": "mi",
+    "Welsh": "cy", "Catalan": "ca", "Basque": "eu", "Irish": "ga", "Icelandic": "is", "Estonian": "et", "Czech": "cs", "Ukrainian": "uk",
+    "Romanian": "ro", "Hungarian": "hu",
+}
+
+
+def speech_language(contacts: Column, code: Column, table: dict[str, str] | None = None) -> Column:
+    """The code of the first contact language that ``table`` knows, else a two-letter ``code``, else ``en``."""
+    m = F.create_map(*(F.lit(x) for kv in (table or SPEECH).items() for x in kv))
+    known = F.filter(F.transform(contacts, lambda x: m[x]), lambda x: x.isNotNull())
+    return F.coalesce(F.get(known, F.lit(0)), F.when(F.length(code) == 2, code), F.lit("en"))
+
+
+def byte_size(n: Column) -> Column:
+    """A size in B, KB or MB, the latter with one digit."""
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1048576, F.format_string("%.1f KB", n / 1024.0)).when(n.isNotNull(), F.format_string("%.1f MB", n / 1048576.0))
+
+
+def duration(ms: Column) -> Column:
+    """``12s``, or ``3m 12s`` from a minute on."""
+    whole = lambda x: F.floor(x).cast("string")
+    return F.when(ms < 60000, F.concat(whole(ms / 1000), F.lit("s"))).otherwise(F.concat(whole(ms / 60000), F.lit("m "), whole((ms % 60000) / 1000), F.lit("s")))
+
+
+def chunk_of(start: Column, chunks: int, width: float = 30.0) -> Column:
+    """The chunk a time falls in; times beyond the last chunk are in it."""
+    return F.least(F.floor(start / width), F.lit(chunks - 1))
+
+
+def time_limit(chars: Column, video: Column, scan: Column) -> Column:
+    """Minutes: three, one for each further 50,000 characters begun, seven for a video, five for a scan."""
+    extra = F.greatest(F.lit(0), F.ceil((chars - 50000) / 50000.0))
+    more = lambda c, n: F.when(c, n).otherwise(0)
+    return (3 + extra + more(video, 7) + more(scan, 5)).cast("int")

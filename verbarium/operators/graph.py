@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbarium.plans.runtime import cut, small
@@ -89,30 +89,71 @@ def neighbourhood(edges: DataFrame, roots: DataFrame, key: str, depth: int = 2,
     return seen.orderBy("hops", key).limit(most)
 
 
-def shortest_path(edges: DataFrame, start, goal, longest: int = 20) -> list:
-    """Keys along a shortest path, [] if there is none within ``longest`` edges; of equal paths the smallest predecessors win.
+def shortest_path(edges: DataFrame, start, goal) -> list:
+    """Keys along a shortest path, [] if there is none; of equal paths the smallest predecessors win.
 
-    One frontier join per hop with the lineage cut; only the path itself comes to the driver.
+    One frontier join per hop with the lineage cut, until the goal is met or the frontier is empty: as many hops as the part of the graph
+    needs. The way back is one join per hop too; only the path itself comes to the driver.
     """
     if start == goal:
         return [start]
     spark = edges.sparkSession
     sym = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     kind = sym.schema["a"].dataType.simpleString()
-    reached = spark.createDataFrame([(start, None, 0)], f"node {kind}, via {kind}, hops int")
-    front = reached
-    for h in range(1, longest + 1):
-        nxt = sym.join(small(front.select(F.col("node").alias("a"))), "a").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("via"))
-        front = cut(nxt.join(reached.select("node"), "node", "left_anti").withColumn("hops", F.lit(h)))
-        if front.isEmpty():
+    layers = [cut(spark.createDataFrame([(start, None)], f"node {kind}, via {kind}"))]
+    seen = layers[0].select("node")
+    while True:
+        nxt = sym.join(small(layers[-1].select(F.col("node").alias("a"))), "a").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("via"))
+        layers.append(cut(nxt.join(seen, "node", "left_anti")))
+        met = layers[-1].agg(F.count("*").alias("n"), F.max(F.col("node") == goal).alias("goal")).first()
+        if not met["n"]:
             return []
-        reached = reached.unionByName(front)
-        if not front.where(F.col("node") == goal).isEmpty():
-            path = [goal]
-            while path[-1] != start:
-                path.append(reached.where(F.col("node") == path[-1]).first()["via"])
-            return path[::-1]
-    return []
+        if met["goal"]:
+            break
+        seen = cut(seen.unionByName(layers[-1].select("node"))) if len(layers) % 8 == 0 else seen.unionByName(layers[-1].select("node"))
+    path = [goal]
+    for layer in reversed(layers[1:]):
+        path.append(layer.where(F.col("node") == path[-1]).first()["via"])
+    return path[::-1]
+
+
+def adjacency(edges: DataFrame, key: str) -> DataFrame:
+    """(``key``, ``neighbour``): every edge from both of its ends, each neighbour once. A hub's neighbours stay rows."""
+    return edges.select(F.col("a").alias(key), F.col("b").alias("neighbour")).union(edges.select("b", "a")).distinct()
+
+
+def induced(nodes: DataFrame, edges: DataFrame, key: str, keep: Column) -> tuple[DataFrame, DataFrame]:
+    """The nodes for which ``keep`` holds and the edges among them."""
+    own = nodes.where(F.coalesce(keep, F.lit(False)))
+    ids = own.select(key).distinct()
+    inner = edges.join(ids.withColumnRenamed(key, "a"), "a", "left_semi").join(ids.withColumnRenamed(key, "b"), "b", "left_semi")
+    return own, inner.select(*edges.columns)
+
+
+def project(nodes: DataFrame, edges: DataFrame, key: str, language: str = "en", most: int = 80) -> DataFrame:
+    """What a graph shows of a node: headword, romanisation, cluster, number of references, the first definition in ``language`` cut to
+    ``most`` characters (null if empty), degree."""
+    first = F.get(F.filter("definitions", lambda x: x["language"] == language), F.lit(0))["text"]
+    out = nodes.select(
+        key, "headword_native", "headword_romanized", F.coalesce(F.nullif(F.col("semantic_cluster"), F.lit("")), F.lit("uncategorized")).alias("cluster"),
+        F.coalesce(F.size("cross_references"), F.lit(0)).alias("n_sources"), F.nullif(F.substring(first, 1, most), F.lit("")).alias("definition"),
+    )
+    return out.join(degrees(nodes, edges, key), key)
+
+
+def neighbourhood_graph(nodes: DataFrame, edges: DataFrame, root: DataFrame, key: str, vector: str, depth: int = 2, most: int = 50) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): the neighbourhood of ``root`` (one row), filled up to ``most`` nodes (the feature's cap) with those nearest to its vector,
+    and the edges among them. ``hops`` is null for nodes that only the vector brought in."""
+    near = cut(neighbourhood(edges, root, key, depth, most))
+    have = near.agg(F.count("*").alias("have"))
+    q = nodes.join(F.broadcast(root.select(key)), key, "left_semi").where(F.col(vector).isNotNull()).select(F.col(vector).alias("q")).limit(1)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    cosine = F.try_divide(dot(F.col(vector), F.col("q")), F.sqrt(dot(F.col(vector), F.col(vector)) * dot(F.col("q"), F.col("q"))))
+    rest = nodes.join(small(near.select(key)), key, "left_anti").join(F.broadcast(q)).select(key, F.round(cosine, 9).alias("s")).where("s is not null").orderBy(F.desc("s"), key).limit(most)  # q: one row
+    rest = rest.withColumn("r", F.row_number().over(Window.orderBy(F.desc("s"), key))).join(F.broadcast(have)).where(F.col("r") <= most - F.col("have")).select(key, F.lit(None).cast("int").alias("hops"))  # ``most`` rows
+    ids = cut(near.select(key, "hops").unionByName(rest))
+    own = F.broadcast(ids.select(key))  # at most ``most`` rows
+    return ids, edges.join(own.withColumnRenamed(key, "a"), "a", "left_semi").join(own.withColumnRenamed(key, "b"), "b", "left_semi")
 
 
 def edge_histogram(edges: DataFrame, key: str) -> DataFrame:

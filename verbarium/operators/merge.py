@@ -96,3 +96,13 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str, seq: str) -> DataFr
     low = F.lit(-1).cast("long")
     both = stored.withColumn(seq, low).unionByName(incoming, allowMissingColumns=True)
     return merge_entries(both, key, seq)
+
+
+def merge_grammar(df: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
+    """The merged grammar patterns, one row per id: examples by target, vocabulary and sources as sets, description and rule by the latest text
+    that is not empty, the difference by the latest that is not null, the last version's time."""
+    rows = df.withColumnRenamed("examples", "__examples").withColumn("examples", F.filter("__examples", lambda x: x.isNotNull())).drop("__examples")
+    out = merge_scalars(rows, key, seq, ["description", "rule"], ["title", "title_native", "category", "differences_from_contact", "language_code"], "confidence", "created_at")
+    for part in (merged_array(rows, key, seq, "examples", lambda x: F.coalesce(x["target"], F.lit(""))), union_terms(rows, key, "related_vocabulary"), union_terms(rows, key, "source_urls")):
+        out = out.join(part, key, "left")
+    return out

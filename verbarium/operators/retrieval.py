@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbarium.functions import text as X
+from verbarium.plans.runtime import stored
 
 K1, B = 1.2, 0.75
 #: Field, tokeniser and weight of the clauses of entry search; the best one counts.
@@ -156,6 +157,28 @@ def hybrid(df: DataFrame, key: str, query: str, vector: str, query_vector, k: in
     return top(rank_fusion([text, vec], key, window), F.round("rrf", 12), key, k)
 
 
+def rerank(best: DataFrame, key: str, scorer: Column, window: int = 50, k: int = 10) -> DataFrame:
+    """The first ``window`` rows of a ranked list (column ``score``), reordered by ``scorer`` (any expression, a Pandas UDF of a model too); where
+    it is null or equal the list's own order stays. The first ``k`` are kept."""
+    head = best.orderBy(F.col("score").desc(), key).limit(window).withColumn("rerank_score", scorer)
+    return head.orderBy(F.col("rerank_score").desc_nulls_last(), F.col("score").desc(), key).limit(k)
+
+
+def search(df: DataFrame, key: str, query: str, vector: str, query_vector, cluster: str, k: int = 12, window: int = 50, scorer: Column | None = None, keep: Column | None = None) -> DataFrame:
+    """(``key``, ``kind``, ``pos``): the whole search: text and vector lists over the filtered rows, fused; the window reranked (by the fused score
+    if no ``scorer`` is given); a page shorter than ``k`` filled with other rows of the hits' clusters. ``kind``: hit or cluster."""
+    src = df if keep is None else df.where(keep)
+    fused = hybrid(src, key, query, vector, query_vector, window, window).withColumnRenamed("rrf", "score")
+    wide = fused if scorer is None else fused.join(src, key)
+    hits = rerank(wide, key, F.col("score") if scorer is None else scorer, window, k).select(key, "rerank_score", "score")
+    hits = stored(hits, "search-hits")  # at most k rows
+    own = src.join(F.broadcast(hits.select(key)), key, "left_semi").select(cluster).where(F.col(cluster).isNotNull()).distinct()
+    more = src.select(key, cluster).join(F.broadcast(own), cluster, "left_semi").join(F.broadcast(hits.select(key)), key, "left_anti").orderBy(key).limit(k).select(key)
+    both = hits.select(key, F.lit("hit").alias("kind"), F.col("rerank_score").alias("a"), F.col("score").alias("b")).unionByName(more.select(key, F.lit("cluster").alias("kind"), F.lit(None).cast("double").alias("a"), F.lit(None).cast("double").alias("b")))
+    w = Window.orderBy(F.col("kind").desc(), F.col("a").desc_nulls_last(), F.col("b").desc_nulls_last(), key)  # at most 2k rows
+    return both.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k).select(key, "kind", "pos")
+
+
 def round_score(c: str) -> Column:
     return F.round(F.col(c), 6)
 
@@ -172,7 +195,7 @@ def _deletions(word: Column, edits: int) -> Column:
 
 def fuzzy_join(left: DataFrame, right: DataFrame, word: str, edits: int = 1, scope: str | None = None) -> DataFrame:
     """Pairs of words within ``edits`` edits, exactly, by a hash join on deletion forms: words that close share a form, so no
-    pair is compared that shares none. Columns of the sides get the suffixes ``_l`` and ``_r``; words are made distinct."""
+    pair is compared that shares none (words of up to ``edits`` letters all share the empty form). Columns of the sides get the suffixes ``_l`` and ``_r``; words are made distinct."""
     keys = [word] + ([scope] if scope else [])
     side = lambda d, s: d.select(*(F.col(k).alias(k + s) for k in keys)).where(F.col(word + s).isNotNull()).distinct().withColumn("form", F.explode(_deletions(F.col(word + s), edits)))
     a, b = side(left, "_l"), side(right, "_r")

@@ -12,7 +12,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_LINK = re.compile(r"<a\s[^>]*href=[\"']([^\"']+)[\"'][^>]*>([\s\S]*?)</a>", re.I)
 _AUDIO = re.compile(r"\.(mp3|wav|ogg|m4a|aac|flac|webm)$", re.I)
 # Elements whose text is not content, and those that hold it.
 DROP = {"script", "style", "nav", "footer", "aside", "header", "noscript"}
@@ -20,22 +19,45 @@ KEEP = ("article", "main", "body")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
+class _Anchors(HTMLParser):
+    """Anchors with an address and their text, in order."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: list[list] = []
+        self.open = False
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "a":
+            href = dict(attrs).get("href")
+            self.open = bool(href)
+            if href:
+                self.found.append([href.strip(), []])
+
+    def handle_endtag(self, tag: str) -> None:
+        self.open = self.open and tag != "a"
+
+    def handle_data(self, data: str) -> None:
+        if self.open:
+            self.found[-1][1].append(data)
+
+
 def page_links(page: str, base: str, keyword: str | None = None, most: int = 50) -> list[tuple[str, str]]:
     """(address, text) of the anchors of a page, first seen first, without fragments, scripts and mail."""
+    parser = _Anchors()
+    parser.feed(page)
+    parser.close()
     out: dict[str, str] = {}
-    for href, inner in _LINK.findall(page):
-        if href.startswith(("#", "javascript:", "mailto:")):
+    for href, parts in parser.found:
+        if href.startswith("#") or href.lower().startswith(("javascript:", "mailto:")):
             continue
         try:
             href = urljoin(base, href)
         except ValueError:
             continue
-        text = re.sub(r"<[^>]+>", "", inner).strip()
-        if href in out or keyword and keyword.lower() not in href.lower() and keyword.lower() not in text.lower():
-            continue
-        out[href] = text or href
-        if len(out) >= most:
-            break
+        text = "".join(parts).strip()
+        if len(out) < most and href not in out and (not keyword or keyword.lower() in f"{href}\n{text}".lower()):
+            out[href] = text or href
     return list(out.items())
 
 
@@ -108,7 +130,7 @@ def html_text(df: DataFrame, key: str, url: str, page: str) -> DataFrame:
         for b in batches:
             rows = []
             for k, u, p in zip(b["k"], b["u"], b["p"]):
-                if p.startswith("%PDF") or re.search(r"[\x00-\x08\x0e-\x1f]{10,}", p[:1000]):
+                if p.startswith("%PDF") or re.search(r"[\x00-\x08\x0e-\x1f]{10,}", p):
                     continue
                 rows.append((k, *read_html(p, u)))
             yield pd.DataFrame(rows, columns=[key, "title", "text", "audio_urls"])
@@ -120,7 +142,7 @@ def html_text(df: DataFrame, key: str, url: str, page: str) -> DataFrame:
 def gloss_lines(df: DataFrame, key: str, content: str) -> DataFrame:
     """(``key``, ``line_no``, ``word``, ``gloss``) of the lines ``word — gloss`` of 3 to 500 characters."""
     x = df.select(key, F.posexplode(F.split(content, "\n", -1)).alias("line_no", "line"))
-    m = lambda i: F.trim(F.regexp_extract("line", r"^\s*(\S.{0,200}?)\s+[—–-]\s+(\S.*?)\s*$", i))
+    m = lambda i: F.trim(F.regexp_extract("line", r"^\s*(\S.*?)\s+[—–-]\s+(\S.*?)\s*$", i))
     return x.where(F.length("line").between(3, 500)).select(key, "line_no", m(1).alias("word"), m(2).alias("gloss")).where("word <> '' and gloss <> ''")
 
 

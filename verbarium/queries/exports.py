@@ -26,7 +26,9 @@ def query(sql: str | None = None):
 
 @query("SELECT rec_id, " + ", ".join(f"coalesce(array_to_string(list_transform(list_filter(definitions, lambda x: x.language = '{x}'), lambda x: x.text), '; '), '') AS definitions_{x}" for x in LANGS) + " FROM vocabulary")
 def csv_pivot_export(s, d):
-    return sinks.export_columns(table(s, d, "vocabulary").select("rec_id", "definitions"), "rec_id", LANGS)
+    """One column for each language the definitions have (found by one scan; the SQL names those of the test tables)."""
+    v = table(s, d, "vocabulary").select("rec_id", "definitions")
+    return sinks.export_columns(v, "rec_id", sinks.definition_languages(v))
 
 
 @query("SELECT glottocode, latitude, longitude, coalesce(endangerment_level, 0) AS l, coalesce(speaker_count, 0) AS s FROM languages WHERE latitude IS NOT NULL AND longitude IS NOT NULL")

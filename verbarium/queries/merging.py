@@ -118,17 +118,28 @@ def graph_induced_edges(s, d):
     return G.top_graph(n, e, "rec_id", 50)[1].select("a", "b", "type")
 
 
-@query(GRAPH + """, sy AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT min(a) AS k FROM e), h1 AS (SELECT DISTINCT b AS k FROM sy WHERE a IN (SELECT k FROM r) AND b NOT IN (SELECT k FROM r)),
+def _all_edges(s, d):
+    """Related and cluster edges over the whole archive."""
+    n = table(s, d, "vocabulary").select("rec_id", "headword_native", "semantic_cluster", "related_terms")
+    return G.undirected(G.related_edges(n, "rec_id", "headword_native", "related_terms").unionByName(G.star_edges(n, "rec_id", "semantic_cluster")))
+
+
+GRAPH_ALL = GRAPH[: GRAPH.index("    u AS")].replace(" WHERE language_code = 'qaa' ORDER BY rec_id LIMIT 1500", "") + """    al AS (SELECT least(a, b) AS a, greatest(a, b) AS b, weight, rank, type FROM (SELECT * FROM rel UNION ALL SELECT * FROM star)),
+    e AS (SELECT a, b, weight, type FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY rank, weight DESC) AS r FROM al) WHERE r = 1)
+    """
+
+
+@query(GRAPH_ALL + """, sy AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT min(a) AS k FROM e), h1 AS (SELECT DISTINCT b AS k FROM sy WHERE a IN (SELECT k FROM r) AND b NOT IN (SELECT k FROM r)),
     h2 AS (SELECT DISTINCT b AS k FROM sy WHERE a IN (SELECT k FROM h1) AND b NOT IN (SELECT k FROM h1) AND b NOT IN (SELECT k FROM r))
     SELECT k AS rec_id, hops FROM (SELECT k, 0 AS hops FROM r UNION ALL SELECT k, 1 FROM h1 UNION ALL SELECT k, 2 FROM h2) ORDER BY hops, k LIMIT 50""")
 def bfs_depth2(s, d):
-    e = _edges(s, d)[1]
+    e = _all_edges(s, d)
     return G.neighbourhood(e, e.agg(F.min("a").alias("rec_id")), "rec_id")
 
 
-@query(GRAPH + "SELECT rec_id, count(*) FILTER (WHERE type = 'related') AS related, count(*) FILTER (WHERE type = 'cluster') AS cluster, count(*) FILTER (WHERE type = 'embedding') AS embedding FROM (SELECT a AS rec_id, type FROM e UNION ALL SELECT b, type FROM e) GROUP BY rec_id")
+@query(GRAPH_ALL + "SELECT rec_id, count(*) FILTER (WHERE type = 'related') AS related, count(*) FILTER (WHERE type = 'cluster') AS cluster, count(*) FILTER (WHERE type = 'embedding') AS embedding FROM (SELECT a AS rec_id, type FROM e UNION ALL SELECT b, type FROM e) GROUP BY rec_id")
 def edge_histogram(s, d):
-    return G.edge_histogram(_edges(s, d)[1], "rec_id")
+    return G.edge_histogram(_all_edges(s, d), "rec_id")
 
 
 @query("SELECT a, b FROM (WITH c AS (SELECT coalesce(semantic_cluster, 'uncategorized') AS c, rec_id, row_number() OVER (PARTITION BY coalesce(semantic_cluster, 'uncategorized') ORDER BY rec_id) AS r FROM vocabulary) SELECT h.rec_id AS a, c.rec_id AS b FROM c JOIN c h ON h.c = c.c AND h.r = 1 WHERE c.r BETWEEN 2 AND 10)")
@@ -139,7 +150,7 @@ def cluster_star(s, d):
 @query()
 def shortest_path(s, d):
     """A shortest path from the smallest to the greatest connected node."""
-    e = _edges(s, d)[1]
+    e = _all_edges(s, d)
     ends = e.agg(F.min("a").alias("x"), F.max("b").alias("y")).first()
     path = G.shortest_path(e, ends["x"], ends["y"]) if ends["x"] is not None else []
     return s.createDataFrame(list(enumerate(path)), "step int, rec_id long")

@@ -43,7 +43,7 @@ def reliability_score(s, d):
     return table(s, d, "documents").where("text is not null").select("doc_id", C.reliability(F.col("text")).alias("score"))
 
 
-@query(f"""SELECT crawl_id, CASE WHEN regexp_matches(lower(url), '{"|".join(C.CHEAP_SITES)}') THEN 'cheap_first' WHEN regexp_matches(lower(url), '{"|".join(C.HARD_SITES)}') THEN 'hard_first' ELSE 'cheap_first' END AS tier,
+@query(f"""SELECT crawl_id, CASE WHEN regexp_matches(lower(url), '{"|".join(C.CHEAP_SITES)}') THEN 'cheerio_first' WHEN regexp_matches(lower(url), '{"|".join(C.HARD_SITES)}') THEN 'brightdata_first' ELSE 'cheerio_first' END AS tier,
     {_case('lower(url)', C.ROUTES, 'generic')} AS route FROM crawl_results""")
 def domain_tier(s, d):
     return _crawls(s, d).select("crawl_id", C.domain_tier(F.col("url")).alias("tier"), C.crawler_route(F.col("url")).alias("route"))

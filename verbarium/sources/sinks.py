@@ -18,6 +18,26 @@ def export_columns(df: DataFrame, key: str, languages: list[str]) -> DataFrame:
     return df.select(key, *(texts(x).alias(f"definitions_{x}") for x in order))
 
 
+def definition_languages(df: DataFrame, most: int = 10_000) -> list[str]:
+    """The languages of all definitions, sorted. More than ``most`` would not fit a table's columns and are an error."""
+    rows = df.select(F.explode("definitions").alias("x")).select("x.language").where("language is not null").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} languages of definitions")
+    return sorted(r["language"] for r in rows)
+
+
+def export_json(df: DataFrame, path: str) -> None:
+    """``{"entries": [...], "total": n}`` as line-wise JSON parts: the rows, and the envelope with their number."""
+    df.write.mode("overwrite").json(f"{path}/entries")
+    df.sparkSession.read.schema(df.schema).json(f"{path}/entries").agg(F.count("*").alias("total")).coalesce(1).write.mode("overwrite").json(f"{path}/envelope")
+
+
+def read_runs(spark: SparkSession, path: str, schema, language_code: str, k: int = 10) -> DataFrame:
+    """The newest ``k`` runs of one language that did not fail; unreadable artifacts are dropped."""
+    x = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).where((F.col("language_code") == language_code) & F.col("id").isNotNull())
+    return x.where("lower(coalesce(status, '')) <> 'error'").orderBy(F.col("started_at").desc_nulls_last(), "id").limit(k)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """All cells quoted, quotes doubled, line ends kept."""
     df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The statuses in the order in which they win when a run has several.
@@ -16,10 +16,15 @@ PRECEDENCE = {"cancelled": 4, "complete": 3, "error": 2, "running": 1}
 KNOWN = ("running", "complete", "error", "pending", "cancelled")
 
 
+def event_key() -> Column:
+    """What makes two rows versions of one event: the id; a null id is an event of its own."""
+    return F.coalesce("id", F.concat(F.lit("\0"), F.col("seq").cast("string")))
+
+
 def upsert_by_id(df: DataFrame) -> DataFrame:
     """The latest version of each event id at the place of its first (``first_seen``); repeated deliveries change nothing.
     One partial aggregation, no sort. A null id is an event of its own."""
-    k = F.coalesce("id", F.concat(F.lit("\0"), F.col("seq").cast("string")))
+    k = event_key()
     last = F.max_by(F.struct(*df.columns), F.col("seq")).alias("e")
     x = df.groupBy(k.alias("__k")).agg(F.min("seq").alias("first_seen"), last)
     return x.select("first_seen", "e.*")
@@ -41,12 +46,17 @@ def counters(df: DataFrame) -> DataFrame:
 
 
 def status_of(df: DataFrame, by: str) -> DataFrame:
-    """(``by``, ``status``): the winning status of each group's latest versions; only running left reads as running."""
+    """(``by``, ``status``): the winning status of each group's latest versions; null and unknown ones count least."""
     m = F.create_map(*(F.lit(x) for kv in PRECEDENCE.items() for x in kv))
     s = F.lower("status")
     return upsert_by_id(df).groupBy(by).agg(F.max_by(s, F.struct(F.coalesce(m[s], F.lit(0)), s)).alias("status"))
 
 
+def settled(status: Column, last_seen: Column, now: Column, stale: str = "INTERVAL 10 MINUTES") -> Column:
+    """``status`` with a ``running`` that was not heard of for ``stale`` resolved to ``complete``."""
+    return F.when((status == "running") & (last_seen + F.expr(stale) < now), "complete").otherwise(status)
+
+
 def tumbling(df: DataFrame, width: str, ts: str = "timestamp") -> DataFrame:
     """Events per window and status."""
     x = df.groupBy(F.window(ts, width).alias("w"), F.lower("status").alias("status")).agg(F.count("*").alias("n"))
@@ -91,14 +101,22 @@ def upsert_sink(state_path: str) -> Callable[[DataFrame, int], None]:
         rows = batch
         if n > 0:
             rows = spark.read.schema(batch.schema).parquet(f"{state_path}/v={n - 1}").unionByName(batch)
-        first = rows.groupBy("id").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
-        # of each id the first version (its place) and the latest one (its state)
-        keep = rows.join(first, "id").where("seq = lo or seq = hi").drop("lo", "hi").dropDuplicates(["id", "seq"])
+        rows = rows.withColumn("__k", event_key())
+        first = rows.groupBy("__k").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
+        # of each event the first version (its place) and the latest one (its state)
+        keep = rows.join(first, "__k").where("seq = lo or seq = hi").dropDuplicates(["__k", "seq"]).drop("lo", "hi", "__k")
         keep.write.mode("overwrite").parquet(f"{state_path}/v={n}")
 
     return write
 
 
+def replay_then_live(spark, state_path: str, version: int, path: str, schema) -> tuple[DataFrame, DataFrame]:
+    """For a late joiner: the upserted history as of ``version`` of :func:`upsert_sink`, and the stream of the events after it."""
+    history = upsert_by_id(spark.read.schema(schema).parquet(f"{state_path}/v={version}"))
+    last = history.agg(F.max("seq")).first()[0]
+    return history, read_events(spark, path, schema).where(F.col("seq") > F.lit(-1 if last is None else last))
+
+
 def running_counts(df: DataFrame) -> DataFrame:
     """Update-mode counts by action and status."""
     return df.groupBy("action", "status").agg(F.count("*").alias("n"))

@@ -9,6 +9,7 @@ that the tokens taken meet the allotment to within a cell, without sorting or mo
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,17 +31,18 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 
 
 def token_counts(df: DataFrame, keys: list[str], text: str, tokenizer: str | None = None) -> DataFrame:
-    """``keys`` and ``tokens`` of every row; a null text has 0. ``tokenizer``: a vocabulary file, the same on all executors."""
+    """``keys`` and ``tokens`` of every row; a null text has 0. ``tokenizer``: a vocabulary file of the driver, sent to the executors."""
     at = tokenizer or tokenizer_file()
+    df.sparkSession.sparkContext.addFile(at)
+    name = os.path.basename(at)
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", tokens long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from pyspark import SparkFiles
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(at)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        tok = Tokenizer.from_file(SparkFiles.get(name))
         tok.encode_special_tokens = True
         for b in batches:
             n: list[int] = []

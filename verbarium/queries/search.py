@@ -226,6 +226,14 @@ def _sig(n: str, x: str, cond: str) -> str:
         SELECT term, fg, bg, round((fg / nf - bg / n) * ((fg / nf) / (bg / n)), 6) AS score FROM g, n WHERE fg >= 2 AND (fg / nf - bg / n) > 0"""
 
 
+def _romanize_sql() -> str:
+    """The same letter tables, and accents taken off by DuckDB's own rule."""
+    x = "headword_romanized"
+    for a, b in {**X.ROMAN_TWO, **X.ROMAN_ONE}.items():
+        x = f"replace({x}, '{a}', '{b}')"
+    return f"SELECT rec_id, array_to_string(regexp_extract_all(strip_accents(lower({x})), '{TOK}'), ' ') AS folded FROM vocabulary WHERE headword_romanized IS NOT NULL"
+
+
 SQL = {
     "fuzzy_word_join": f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(d.text), '{TOK}')) AS w FROM (SELECT unnest(definitions) AS d FROM vocabulary) WHERE d.language = 'en'), v AS (SELECT w FROM w WHERE regexp_matches(w, '^[a-z]{{3,8}}$'))
         SELECT x.w AS a, y.w AS b FROM v x JOIN v y ON x.w < y.w AND levenshtein(x.w, y.w) <= 2""",
@@ -233,6 +241,7 @@ SQL = {
     "bm25_documents": BM25_SQL,
     "definition_bm25": DEFINITION_SQL,
     "multi_field_best": _fields_sql(),
+    "romanize": _romanize_sql(),
     "prefix_match": f"SELECT rec_id, headword_native FROM vocabulary WHERE len(list_filter(regexp_extract_all(lower(headword_native), '{TOK}'), lambda w: starts_with(w, 'tse'))) > 0",
     "edge_ngrams": f"SELECT DISTINCT glottocode, g AS gram FROM (SELECT glottocode, w, unnest(range(2, least(15, length(w)) + 1)) AS n, substr(w, 1, n) AS g FROM (SELECT glottocode, unnest(regexp_extract_all(lower(name), '{TOK}')) AS w FROM languages))",
     "ipa_key": r"SELECT rec_id, lower(regexp_replace(ipa, '[/\[\]ˈˌːˑ.‿]', '', 'g')) AS ipa_key FROM vocabulary WHERE ipa IS NOT NULL",

@@ -179,7 +179,8 @@ def page_text(s, d):
     return W.html_text(_crawls(s, d).select("crawl_id", "url", html.alias("html")), "crawl_id", "url", "html")
 
 
-@query()
+@query(r"""WITH x AS (SELECT crawl_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS line_no FROM crawl_results WHERE content IS NOT NULL)
+    SELECT crawl_id, line_no::INT AS line_no, trim(regexp_extract(line, '^\s*(\S.*?)\s+[—–-]\s+(\S.*?)\s*$', 1), ' ') AS word, trim(regexp_extract(line, '^\s*(\S.*?)\s+[—–-]\s+(\S.*?)\s*$', 2), ' ') AS gloss FROM x WHERE length(line) BETWEEN 3 AND 500 AND regexp_matches(line, '^\s*\S.*?\s+[—–-]\s+\S.*?\s*$')""")
 def dictionary_lines(s, d):
     """Word-gloss pairs on the lines of pages."""
     return W.gloss_lines(_crawls(s, d), "crawl_id", "content")

@@ -234,7 +234,29 @@ def _romanize_sql() -> str:
     return f"SELECT rec_id, array_to_string(regexp_extract_all(strip_accents(lower({x})), '{TOK}'), ' ') AS folded FROM vocabulary WHERE headword_romanized IS NOT NULL"
 
 
+def _entry_search_sql(query: str = "fishing net") -> str:
+    """The clause sum: the best weighted field, then the other clauses, each the same formula over its own words."""
+    roman = _romanize_sql().split("regexp_extract_all(")[1].rsplit(", '" + TOK, 1)[0]
+    words = lambda c: f"regexp_extract_all(lower({c}), '{TOK}')"
+    made = {
+        "exact": lambda c: f"[{c}]", "tokens": words, "roman": lambda c: f"regexp_extract_all({roman}, '{TOK}')",
+        "prefix": lambda c: f"flatten(list_transform({words(c)}, lambda w: list_transform(range(2, least(15, length(w)) + 1), lambda n: substr(w, 1, n))))",
+        "ipa": lambda c: f"[lower(regexp_replace({c}, '[/\\[\\]ˈˌːˑ.‿]', '', 'g'))]",
+    }
+    nested = lambda c, f: f"flatten(list_transform({c}, lambda x: coalesce(regexp_extract_all(lower(x.{f}), '{TOK}'), [])))"
+    parts = [(f"b{i}", made[how](f), [query] if how in ("exact", "ipa") else query.split(), w, "best") for i, (f, how, w) in enumerate(R.ENTRY_FIELDS)]
+    parts += [("r0", made["roman"](""), query.split(), 3.5, "sum"), ("r1", nested("definitions", "text"), query.split(), 2.0, "sum")]
+    parts += [(f"r{i + 2}", nested("example_sentences", f), query.split(), w, "sum") for i, (f, w) in enumerate((("target", 1.5), ("contact", 1.5), ("english", 1.0)))]
+    cols = ", ".join(f"coalesce({x}, []) AS {n}" for n, x, *_ in parts)
+    each = " UNION ALL ".join(f"SELECT rec_id, '{k}' AS k, s * {w} AS s FROM ({_bm25_sql('v', 'rec_id', n, q, 's')})" for n, _, q, w, k in parts)
+    near = f"3 * (len(list_filter(coalesce({words('headword_romanized')}, []), lambda w: levenshtein(w, '{query}') <= 2)) > 0)::INT"
+    return f"""WITH v AS MATERIALIZED (SELECT rec_id, {near} AS near, {cols} FROM vocabulary), t AS ({each}),
+        z AS (SELECT rec_id, max(s) FILTER (WHERE k = 'best') + sum(s) FILTER (WHERE k = 'sum') AS s FROM t GROUP BY rec_id)
+        SELECT rec_id, round(s + near, 6) AS score FROM z JOIN v USING (rec_id) WHERE s + near > 0 ORDER BY score DESC, rec_id LIMIT 20"""
+
+
 SQL = {
+    "entry_search": _entry_search_sql(),
     "fuzzy_word_join": f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(d.text), '{TOK}')) AS w FROM (SELECT unnest(definitions) AS d FROM vocabulary) WHERE d.language = 'en'), v AS (SELECT w FROM w WHERE regexp_matches(w, '^[a-z]{{3,8}}$'))
         SELECT x.w AS a, y.w AS b FROM v x JOIN v y ON x.w < y.w AND levenshtein(x.w, y.w) <= 2""",
     "substring_search": "SELECT rec_id FROM vocabulary WHERE contains(lower(concat_ws(' ', headword_native, headword_romanized, semantic_cluster, array_to_string(list_transform(definitions, lambda x: x.text), ' '))), 'fishing net')",

@@ -1,5 +1,7 @@
 """Operators of the archive on small cases: nulls, empty tables, ties, copies, clashing names."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from verbarium.functions import classify as C
@@ -36,6 +38,36 @@ def test_clips_in_three_stages(spark):
     assert A.match_clips(df.limit(0), "rec_id").count() == 0
 
 
+def _lev(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        prev, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+    return row[-1]
+
+
+def test_clips_against_all_pairs_without_broadcast_forms(spark):
+    """Words of 0 to 12 letters in each band of edits; the tables of forms, larger than their estimate, are not broadcast."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choices("abé", k=rnd.randrange(13)))
+    heads, clips = {word() for _ in range(250)} - {"", "a"}, {word() for _ in range(60)} - {""}
+    heads |= {c[:1] + "x" + c[2:-1] + "y" for c in clips} | {"z" + c + "zz" for c in clips}
+    df = spark.createDataFrame([(i, h, None, None) for i, h in enumerate(sorted(heads))] + [(1000 + i, None, c, f"u{c}") for i, c in enumerate(sorted(clips))], "rec_id long, headword_native string, headword_romanized string, audio_url string")
+    want = []
+    for i, h in enumerate(sorted(heads)):
+        most = 1 if len(h) <= 3 else 2 if len(h) <= 6 else 3
+        near = [(_lev(h, c), c) for c in clips if _lev(h, c) <= most]
+        if near and len(h) > 1 or h in clips:
+            want.append((i, f"u{min(near)[1]}", "native" if h in clips else "fuzzy"))
+    got = A.match_clips(df, "rec_id")
+    assert rows(got) == sorted(want, key=str) and {w[2] for w in want} == {"native", "fuzzy"}
+    words = df.where("headword_native is not null").select(F.col("headword_native").alias("w"))
+    pairs = R.fuzzy_join(words, words, "w", 3)
+    assert {tuple(r) for r in pairs.collect()} == {(a, b) for a in heads for b in heads if _lev(a, b) <= 3}
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_updates_and_unions(spark):
     df = spark.createDataFrame([("a", (1, None), "n"), ("b", None, "n"), (None, (3, "z"), "n")], "k string, s struct<x:int,y:string>, x string")
     new = spark.createDataFrame([("a", 9, None), ("b", None, "q"), ("c", 1, "c")], "k string, x int, y string")

@@ -6,12 +6,14 @@ single row, scores are expressions over array columns, and top-k is ``TakeOrdere
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbarium.functions import text as X
-from verbarium.plans.runtime import stored
+from verbarium.plans.runtime import stored, width
 
 K1, B = 1.2, 0.75
 #: Field, tokeniser and weight of the clauses of entry search; the best one counts.
@@ -193,12 +195,63 @@ def _deletions(word: Column, edits: int) -> Column:
     return out
 
 
-def fuzzy_join(left: DataFrame, right: DataFrame, word: str, edits: int = 1, scope: str | None = None) -> DataFrame:
-    """Pairs of words within ``edits`` edits, exactly, by a hash join on deletion forms: words that close share a form, so no
-    pair is compared that shares none (words of up to ``edits`` letters all share the empty form). Columns of the sides get the suffixes ``_l`` and ``_r``; words are made distinct."""
+def _own_halves(word: Column, edits: int) -> Column:
+    """The keys of a word by its halves: side, length of the half, and the half with up to ``edits // 2`` characters taken out."""
+    first = F.floor(F.length(word) / 2).cast("int")
+    last = F.length(word) - first
+    key = lambda side, n, half: F.transform(_deletions(half, edits // 2), lambda f: F.xxhash64(F.lit(side), n, f))
+    return F.concat(key("first", first, F.substring(word, F.lit(1), first)), key("last", last, F.substring(word, first + 1, last)))
+
+
+def _met_halves(word: Column, edits: int, least: int) -> Column:
+    """The keys under which a word is met by all words of ``least`` letters and more within ``edits`` edits: for each length a half of those may
+    have, the beginnings (ends) up to ``edits // 2`` longer or shorter, with as many characters taken out."""
+    m, n = edits // 2, F.length(word)
+    lengths = F.sequence(F.greatest(n - edits, F.lit(least)), n + edits)
+
+    def keys(side: str, halves: Column, part) -> Column:
+        def of(h: Column) -> Column:
+            forms = F.flatten(F.transform(F.sequence(F.greatest(h - m, F.lit(0)), h + m), lambda q: _deletions(part(F.least(q, n)), m)))
+            return F.transform(F.filter(F.array_distinct(forms), lambda f: F.length(f).between(h - m, h)), lambda f: F.xxhash64(F.lit(side), h, f))
+
+        return F.flatten(F.transform(F.array_distinct(halves), of))
+
+    first = keys("first", F.transform(lengths, lambda k: F.floor(k / 2).cast("int")), lambda q: F.substring(word, F.lit(1), q))
+    last = keys("last", F.transform(lengths, lambda k: k - F.floor(k / 2).cast("int")), lambda q: F.substring(word, n - q + 1, q))
+    return F.concat(first, last)
+
+
+def fuzzy_join(left: DataFrame, right: DataFrame, word: str, edits: int | tuple[tuple[int, int | None, int], ...] = 1, scope: str | None = None) -> DataFrame:
+    """Pairs of words within ``edits`` edits, exactly, by a hash join on forms that close words share. ``edits`` is a number, or bands (shortest,
+    longest, edits) by the length of the left word. Columns of the sides get the suffixes ``_l`` and ``_r``; words are made distinct.
+
+    Up to two edits, and for short words, the forms are the words with up to ``edits`` characters taken out (words of up to ``edits`` letters all share
+    the empty form). From three edits on these are hundreds a word; there the left word is halved: one half meets the beginning or end of any word
+    within ``edits`` edits by half of them at most. The form tables are many times larger than Spark takes them for, so neither is broadcast.
+    """
+    if isinstance(edits, int):
+        edits = ((0, None, edits),) if edits < 3 else ((0, 2 * edits, edits), (2 * edits + 1, None, edits))
+    within = lambda w, lo, hi: (F.length(w) >= lo) & (F.lit(True) if hi is None else F.length(w) <= hi)
+    none = F.array().cast("array<bigint>")
+
+    def forms(w: str, left_side: bool) -> Column:
+        out = []
+        for i, (lo, hi, e) in enumerate(edits):
+            whole = F.transform(_deletions(F.col(w), e), lambda f: F.xxhash64(F.lit(i), f))
+            made = whole if e < 3 or lo <= 2 * e else _own_halves(F.col(w), e) if left_side else _met_halves(F.col(w), e, lo)
+            taken = within(w, lo, hi) if left_side else within(w, lo - e, None if hi is None else hi + e)
+            out.append(F.when(taken, made).otherwise(none))
+        return F.concat(*out) if len(out) > 1 else out[0]
+
     keys = [word] + ([scope] if scope else [])
-    side = lambda d, s: d.select(*(F.col(k).alias(k + s) for k in keys)).where(F.col(word + s).isNotNull()).distinct().withColumn("form", F.explode(_deletions(F.col(word + s), edits)))
+    parts = width(left.sparkSession)
+
+    def side(d: DataFrame, s: str) -> DataFrame:
+        words = d.select(*(F.col(k).alias(k + s) for k in keys)).where(F.col(word + s).isNotNull()).distinct()
+        return words.repartition(parts, word + s).withColumn("form", F.explode(forms(word + s, s == "_l")))  # few bytes, many forms: dealt to all cores
+
     a, b = side(left, "_l"), side(right, "_r")
     on = (a["form"] == b["form"]) & ((a[scope + "_l"] == b[scope + "_r"]) if scope else F.lit(True))
-    x = a.join(b, on).drop("form").distinct()
-    return x.where(F.levenshtein(word + "_l", word + "_r", edits) >= 0)
+    x = a.join(b.hint("merge"), on).drop("form").distinct()
+    close = [within(word + "_l", lo, hi) & (F.levenshtein(word + "_l", word + "_r", e) >= 0) for lo, hi, e in edits]
+    return x.where(reduce(or_, close))

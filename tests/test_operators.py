@@ -174,6 +174,19 @@ def test_fuzzy_join_against_all_pairs(spark):
         assert got == {(a, b) for a in words for b in words if lev(a, b) <= d}
 
 
+def test_fuzzy_join_of_one_table_shuffles_its_forms_once(spark):
+    """The forms, larger than their estimate, are neither broadcast nor made twice; pairs stay inside their scope."""
+    words = [("x", "loom"), ("x", "room"), ("y", "loom"), ("y", "lamp"), ("y", "lamps"), ("x", ""), ("y", "a"), (None, "loom"), ("x", None)]
+    df = spark.createDataFrame(words, "s string, w string")
+    for d in (1, 2):
+        pairs = retrieval.fuzzy_join(df, df, "w", d, "s")
+        got = {(r["s_l"], r["w_l"], r["w_r"]) for r in pairs.collect()}
+        same = {(s, w, w) for s, w in words if s and w is not None}
+        assert got == same | {("x", "loom", "room"), ("x", "room", "loom"), ("y", "lamp", "lamps"), ("y", "lamps", "lamp")}
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "ReusedExchange" in plan
+
+
 def test_fuzzy_queries_take_every_word(spark, tmp_path):
     """Short, long, accented and foreign words and headwords, against all pairs."""
     from verbarium.queries import search

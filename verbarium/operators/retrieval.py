@@ -231,7 +231,8 @@ def fuzzy_join(left: DataFrame, right: DataFrame, word: str, edits: int | tuple[
     """
     if isinstance(edits, int):
         edits = ((0, None, edits),) if edits < 3 else ((0, 2 * edits, edits), (2 * edits + 1, None, edits))
-    within = lambda w, lo, hi: (F.length(w) >= lo) & (F.lit(True) if hi is None else F.length(w) <= hi)
+    least = lambda w, lo: F.length(w) >= lo if lo > 0 else F.lit(True)
+    within = lambda w, lo, hi: least(w, lo) if hi is None else least(w, lo) & (F.length(w) <= hi)
     none = F.array().cast("array<bigint>")
 
     def forms(w: str, left_side: bool) -> Column:
@@ -248,10 +249,15 @@ def fuzzy_join(left: DataFrame, right: DataFrame, word: str, edits: int | tuple[
 
     def side(d: DataFrame, s: str) -> DataFrame:
         words = d.select(*(F.col(k).alias(k + s) for k in keys)).where(F.col(word + s).isNotNull()).distinct()
-        return words.repartition(parts, word + s).withColumn("form", F.explode(forms(word + s, s == "_l")))  # few bytes, many forms: dealt to all cores
-
-    a, b = side(left, "_l"), side(right, "_r")
-    on = (a["form"] == b["form"]) & ((a[scope + "_l"] == b[scope + "_r"]) if scope else F.lit(True))
-    x = a.join(b.hint("merge"), on).drop("form").distinct()
+        # few bytes become many forms: dealt to all cores (by a hash, as the optimizer drops a second partitioning by the word itself)
+        return words.repartition(parts, F.xxhash64(word + s)).withColumn("form" + s, F.explode(forms(word + s, s != "_r")))
+
+    if left is right and [x[:2] for x in edits] == [(0, None)]:
+        own = side(left, "")  # one table of forms, shuffled once
+        a, b = (own.select(*(F.col(c).alias(c + s) for c in own.columns)) for s in ("_l", "_r"))
+    else:
+        a, b = side(left, "_l"), side(right, "_r")
+    on = (F.col("form_l") == F.col("form_r")) & ((F.col(scope + "_l") == F.col(scope + "_r")) if scope else F.lit(True))
+    x = a.join(b.hint("merge"), on).drop("form_l", "form_r").distinct()
     close = [within(word + "_l", lo, hi) & (F.levenshtein(word + "_l", word + "_r", e) >= 0) for lo, hi, e in edits]
     return x.where(reduce(or_, close))

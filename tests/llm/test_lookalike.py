@@ -83,3 +83,16 @@ def test_canonicalise(spark):
     assert [r["f"] for r in L.canonicalise(df, {"t": "f"}).orderBy("id").collect()] == ["x", None]
     with pytest.raises(ValueError):
         L.canonicalise(df, {"t": "id"})
+
+
+def test_canonical_query_takes_headwords_and_sentences(spark, tmp_path):
+    """Equal-looking headwords and sentences of every row get one key; nulls and blanks keep their places."""
+    from verbarium.llm import queries
+
+    rows = [(1, "сор", [("a\xa0b", "n"), (None, "n"), ("Mосква", "n")]), (2, "cop", [("a b", "n"), None, (" ", "n")]), (3, None, []), (4, "", None)]
+    spark.createDataFrame(rows, "rec_id long, headword_native string, example_sentences array<struct<target: string, contact: string>>").write.parquet(str(tmp_path / "vocabulary.parquet"))
+    got = {r["rec_id"]: r for r in queries.p3_canonical(spark, str(tmp_path)).collect()}
+    assert {k: (r["headword_form"], r["headword_form_key"]) for k, r in got.items()} == {1: ("сор", "cop"), 2: ("cop", "cop"), 3: (None, None), 4: ("", "")}
+    assert {k: r["target_form"] for k, r in got.items()} == {1: ["a b", None, "Москва"], 2: ["a b", None, ""], 3: [], 4: None}
+    assert {k: r["target_form_key"] for k, r in got.items()} == {1: ["a b", None, L.look_key("Москва")], 2: ["a b", None, ""], 3: [], 4: None}
+    assert got[1]["target"] == ["a\xa0b", None, "Mосква"]
